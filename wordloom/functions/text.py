@@ -1,0 +1,41 @@
+"""Text as column expressions: words, lines, trimming."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Letters and digits of any script; everything else, the underscore too, separates words.
+WORD = r"[\p{L}\p{N}]+"
+
+
+def words(text: Column | str) -> Column:
+    """The words of the lower-cased text in order; null and empty texts have none."""
+    col = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def strip_space(text: Column | str) -> Column:
+    """Cut surrounding white space of any script; null stays null."""
+    col = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def lines(text: Column | str) -> Column:
+    """The lines of a text; they end in CR LF, CR or LF. Null is like an empty text."""
+    col = F.col(text) if isinstance(text, str) else text
+    return F.split(F.coalesce(col, F.lit("")), r"\r\n|\r|\n")
+
+
+def shingles(items: Column, size: int) -> Column:
+    """64-bit hashes of each run of ``size`` consecutive items, repeats removed, in ascending order.
+
+    Fewer than ``size`` items give an empty array.
+    """
+    # slice() of the shifted arrays pairs each item with its followers without a nested lambda per shingle
+    n = F.size(items) - (size - 1)
+    runs = F.transform(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+        lambda i: F.xxhash64(*[F.try_element_at(items, i + k) for k in range(size)]),
+    )
+    return F.when(n >= 1, F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>"))
