@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wordloom.llm.layout_copies import layout_copies
 from wordloom.llm.near_duplicates import near_duplicate_groups
+from wordloom.llm.sequences import frequent_sequences
 from wordloom.llm.set_pairs import similar_pairs
 from wordloom.llm.sql import P1_FOUND, P2_FOUND, P3_FOUND
 from wordloom.plans.registry import Registry
@@ -28,3 +32,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p3_found", P3_FOUND)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_copies(read_table(spark, sf_dir, "wiki_entries"), "id", "content", "tags")
+
+
+@registry.query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests = read_table(spark, sf_dir, "transcript_digests")
+    kinds = {"tool": F.col("tool_sequence"), "skill": F.col("skill_uses.skill")}
+    tool, skill = (
+        frequent_sequences(digests, "session_id", steps, Fraction(1, 10), 5).select(F.lit(kind).alias("kind"), "*")
+        for kind, steps in kinds.items()
+    )
+    return tool.union(skill)
