@@ -11,7 +11,8 @@ from wordloom.llm.layout_copies import layout_copies
 from wordloom.llm.near_duplicates import near_duplicate_groups
 from wordloom.llm.sequences import frequent_sequences
 from wordloom.llm.set_pairs import similar_pairs
-from wordloom.llm.sql import P1_FOUND, P2_FOUND, P3_FOUND
+from wordloom.llm.sql import P1_FOUND, P2_FOUND, P3_FOUND, P6_DECODED
+from wordloom.llm.tokens import decode_corpus, encode_corpus
 from wordloom.plans.registry import Registry
 from wordloom.session import read_table
 
@@ -43,3 +44,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         for kind, steps in kinds.items()
     )
     return tool.union(skill)
+
+
+@registry.query("p6_ids")
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@registry.query("p6_decoded", P6_DECODED)
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_corpus(encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")

@@ -50,3 +50,5 @@ WITH d AS (
 )
 SELECT min(id) AS id, count(DISTINCT id) AS n_copies FROM f GROUP BY body, block, tags HAVING count(DISTINCT id) > 1
 """
+
+P6_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
