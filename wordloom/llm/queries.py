@@ -12,6 +12,7 @@ from wordloom.llm.near_duplicates import near_duplicate_groups
 from wordloom.llm.sequences import frequent_sequences
 from wordloom.llm.set_pairs import similar_pairs
 from wordloom.llm.sql import P1_FOUND, P2_FOUND, P3_FOUND, P6_DECODED
+from wordloom.llm.stuffing import stuffed_pages
 from wordloom.llm.tokens import decode_corpus, encode_corpus
 from wordloom.plans.registry import Registry
 from wordloom.session import read_table
@@ -54,3 +55,9 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p6_decoded", P6_DECODED)
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_corpus(encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+@registry.query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (read_table(spark, sf_dir, name) for name in ("documents", "page_labels"))
+    return stuffed_pages(documents, labels, "doc_id", "text", "is_spam")
