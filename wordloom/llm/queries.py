@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.layout_copies import layout_copies
+from wordloom.llm.mixing import mix, mix_shares
 from wordloom.llm.near_duplicates import near_duplicate_groups
 from wordloom.llm.sequences import frequent_sequences
 from wordloom.llm.set_pairs import similar_pairs
@@ -57,6 +58,18 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_corpus(encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
+@registry.query("p7_mix")
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, targets = (read_table(spark, sf_dir, name) for name in ("documents", "mix_targets"))
+    return mix(documents, targets, "doc_id", "text", "source")
+
+
+@registry.query("p7_shares")
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, targets = (read_table(spark, sf_dir, name) for name in ("documents", "mix_targets"))
+    return mix_shares(documents, targets, "doc_id", "text", "source")
+
+
 @registry.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = (read_table(spark, sf_dir, name) for name in ("documents", "page_labels"))
