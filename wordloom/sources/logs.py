@@ -19,12 +19,10 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """``raw, digest``: the lines that read_lines() skips, as they are, with their SHA-256."""
-    read = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    # the column of bad records can't be read alone from the file, so another one comes along
-    kept = read.select("_bad", read.columns[0]).where("_bad is not null")
-    return kept.select(F.col("_bad").alias("raw"), F.sha2("_bad", 256).alias("digest"))
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``raw, digest``: the lines that are no JSON, as they are, with their SHA-256; blank lines are none."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.where(F.try_parse_json("value").isNull()).select(F.col("value").alias("raw"), F.sha2("value", 256).alias("digest"))
 
 
 def append_lines(rows: DataFrame, path: str) -> None:
@@ -45,7 +43,7 @@ def append_new(rows: DataFrame, path: str, schema: str, key: str) -> None:
 
 def transcript_lines(spark: SparkSession, path: str) -> DataFrame:
     """``session_id, line_no, raw`` of transcript files: a file is a session named by its stem, lines keep their order."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("name"), "value")
+    files = spark.read.format("text").option("wholetext", "true").load(path).select(F.col("_metadata.file_name").alias("name"), "value")
     lines = files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("session_id"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
     return lines.where("raw <> ''")
 

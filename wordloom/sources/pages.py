@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from wordloom.functions.text import content_hash, is_safe_path
 from wordloom.operators.delivery import instant
@@ -181,7 +182,7 @@ def canonical_json_hash(text: str | None) -> str | None:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def payload_hash(texts: pd.Series) -> pd.Series:
     """canonical_json_hash() of a column."""
     return texts.map(canonical_json_hash)
