@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.session import cut
+
 #: Seed of the universal hash functions.
 SEED = 20_240_229
 #: Values hashed at a time, so that the work stays in the processor's cache.
 CHUNK = 1 << 16
+#: Records of a bucket that are compared with each other as they are; members of larger ones go by rare_rows().
+CROWD = 64
 
 
 @dataclass(frozen=True)
@@ -94,6 +98,33 @@ def bucket_rows(records: DataFrame, key: str, families: list[Bands]) -> DataFram
     return full.mapInArrow(run, f"bucket bigint, {key} {dict(full.dtypes)[key]}")
 
 
+def shared_buckets(rows: DataFrame, key: str) -> DataFrame:
+    """``bucket, key, head, crowd`` of the buckets with several records: the smallest key of each and their number.
+
+    Buckets are counted with a partial count before the shuffle, and the rows join a row per bucket, so a bucket that
+    holds a third of all records may be split over many tasks. The many buckets with one record are gone; the rest is
+    written.
+    """
+    sized = rows.groupBy("bucket").agg(F.min(key).alias("head"), F.count("*").alias("crowd")).where("crowd > 1")
+    return cut(rows.join(sized, "bucket"))
+
+
+def rare_rows(records: DataFrame, key: str, items: str, share: float) -> DataFrame:
+    """``bucket BIGINT, key``: each record under the rarest values of its set, as many as a similarity of ``share`` needs.
+
+    Two sets of n values or less that agree to ``share`` have one of each other's n - ceil(share n) + 1 rarest values in
+    common. So records that crowd a bucket because of values that very many hold meet only where they share rare ones,
+    and no pair that is similar enough is missed.
+    """
+    values = records.select(key, F.explode(items).alias("value"))
+    common = values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = values.join(common, "value").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v"))
+    sized = ranked.join(records.select(key, F.size(items).alias("size")), key)
+    # values of a single record come first in its order and meet nothing
+    most = F.col("size") - F.ceil(F.lit(share) * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("v"))
+    return sized.where(most > 0).select(F.explode(F.slice("v", 1, most.cast("int"))).alias("r"), key).select(F.col("r.value").alias("bucket"), key)
+
+
 def with_signature(records: DataFrame, name: str, size: int) -> DataFrame:
     """Add ``signature``: the lowest byte of each of ``size`` minima of the set ``name``; null for an empty set."""
     factors, offsets = _functions(size, SEED - 1)

@@ -3,7 +3,8 @@
 64 bands of 4 minima meet a pair of similarity 0.6 with probability 0.99986 and, groups being linked in many ways, lose
 a member less often still. In each bucket all members are first compared with one head; what is linked by then is
 one component, and only members of different components are compared with each other. So a bucket full of copies costs
-one comparison a member, and no pair that could still join two groups is skipped.
+one comparison a member, and no pair that could still join two groups is skipped. Where a bucket still holds many
+components, since very many pages share a passage, its members meet by an exact join on their rarest shingles instead.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import shingles, words
-from wordloom.llm.minhash import Bands, agreeing, bucket_rows, overlap, with_signature
+from wordloom.llm.minhash import CROWD, Bands, agreeing, bucket_rows, overlap, rare_rows, shared_buckets, with_signature
 from wordloom.operators.components import connected_components
 from wordloom.session import cut
 
@@ -58,34 +59,33 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 def class_components(classes: DataFrame, share: float = 0.6, bands: int = 64, rows: int = 4) -> DataFrame:
     """``node, component`` of every class that is linked to another one."""
-    met = cut(bucket_rows(classes, "node", [Bands((("grams", rows),), bands)]))
-    heads = met.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
-    heads = cut(heads.select("bucket", "a"))
-    shared = cut(met.join(heads, "bucket"))
-    star = shared.where("a < node").select("a", F.col("node").alias("b")).distinct()
+    shared = shared_buckets(bucket_rows(classes, "node", [Bands((("grams", rows),), bands)]), "node")
+    star = shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     first = cut(linked(star, classes, share))
     joined = connected_components(first)
     placed = cut(
         shared.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
     )
-    parts = placed.select("bucket", "part").distinct()
-    several = parts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    parts = parts.join(several, "bucket", "left_semi")
-    two = (
-        parts.withColumnRenamed("part", "p").join(parts.withColumnRenamed("part", "q"), "bucket").where("p < q")
-    )
-    x, y = (placed.select("bucket", F.col("part").alias(p), F.col("node").alias(n)) for p, n in (("p", "x"), ("q", "y")))
-    rest = (
-        two.join(x, ["bucket", "p"]).join(y, ["bucket", "q"])
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
+    parts = placed.groupBy("bucket").agg(F.count_distinct("part").alias("parts")).where("parts > 1")
+    open_rows = placed.join(parts, "bucket")
+    crowd = open_rows.where(F.col("parts") > CROWD).select("node", "part").distinct()
+    rare = rare_rows(classes.join(crowd.select("node"), "node", "left_semi"), "node", "grams", share).join(crowd, "node")
+    rest = _across(open_rows.where(F.col("parts") <= CROWD).select("bucket", "node", "part"))
+    rest = rest.union(_across(rare.select("bucket", "node", "part"))).distinct().join(star, ["a", "b"], "left_anti")
     second = linked(rest, classes, share)
     stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return connected_components(stars.union(second))
 
 
+def _across(placed: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of ``placed(bucket, node, part)`` that share a bucket but are of different parts."""
+    parts = placed.select("bucket", "part").distinct()
+    two = parts.withColumnRenamed("part", "p").join(parts.withColumnRenamed("part", "q"), "bucket").where("p < q")
+    x, y = (placed.select("bucket", F.col("part").alias(p), F.col("node").alias(n)) for p, n in (("p", "x"), ("q", "y")))
+    pairs = two.join(x, ["bucket", "p"]).join(y, ["bucket", "q"])
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_duplicate_groups(
     records: DataFrame, key: str, title: str, content: str, size: int = 5, share: float = 0.8
 ) -> DataFrame:

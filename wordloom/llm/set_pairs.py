@@ -3,7 +3,8 @@
 Minwise hashes of both sets are mixed in each band. With a mean similarity of at least t, one of the two sets has at
 least t, so bands of (2 minima of the first, 1 of the second) and of (1, 2) meet such a pair with probability at least
 0.2 each where t = 0.6; 40 bands of each kind miss a pair that lies exactly on the threshold with 1.4e-4 at the most
-unfavourable split, and far less beyond. Every candidate is then checked on the whole sets, in integers.
+unfavourable split, and far less beyond. Buckets that many records crowd, for they hold little but common values, are
+left to an exact join on the rarest values. Every candidate is then checked on the whole sets, in integers.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.minhash import Bands, bucket_rows, overlap
+from wordloom.llm.minhash import CROWD, Bands, bucket_rows, overlap, rare_rows, shared_buckets
 from wordloom.session import cut
 
 
@@ -43,14 +44,12 @@ def set_classes(records: DataFrame, key: str, first: str, second: str) -> tuple[
 def similar_classes(classes: DataFrame, share: tuple[int, int] = (3, 5), bands: int = 40) -> DataFrame:
     """``a, b`` with a < b: the classes whose mean Jaccard similarity is at least ``share`` (a fraction)."""
     families = [Bands((("first", 2), ("second", 1)), bands), Bands((("first", 1), ("second", 2)), bands)]
-    rows = bucket_rows(classes, "node", families)
-    met = (
-        rows.withColumnRenamed("node", "a")
-        .join(rows.withColumnRenamed("node", "b"), "bucket")
-        .where("a < b")
-        .select("a", "b")
-        .distinct()
-    )
+    shared = shared_buckets(bucket_rows(classes, "node", families), "node")
+    met = _met(shared.where(F.col("crowd") <= CROWD))
+    crowded = classes.join(shared.where(F.col("crowd") > CROWD).select("node").distinct(), "node", "left_semi")
+    for name in ("first", "second"):  # a similar pair reaches the share in one of its sets
+        met = met.union(_met(rare_rows(crowded, "node", name, share[0] / share[1])))
+    met = met.distinct()
     side = lambda end: classes.select(*[F.col(c).alias(n) for c, n in zip(classes.columns, (end, f"{end}1", f"{end}2"))])
     both = met.join(side("a"), "a").join(side("b"), "b")
     (common1, all1), (common2, all2) = overlap("a1", "b1"), overlap("a2", "b2")
@@ -58,6 +57,12 @@ def similar_classes(classes: DataFrame, share: tuple[int, int] = (3, 5), bands:
     return both.where(close).select("a", "b")
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """``a, b`` with a < b of each bucket."""
+    left, right = (rows.select("bucket", F.col("node").alias(n)) for n in ("a", "b"))
+    return left.join(right, "bucket").where("a < b").select("a", "b")
+
+
 def similar_pairs(records: DataFrame, key: str, first: str, second: str, share: tuple[int, int] = (3, 5)) -> DataFrame:
     """``key_a, key_b`` with key_a < key_b: every pair of different keys whose sets are similar enough.
 
