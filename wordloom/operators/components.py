@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wordloom.session import cut
@@ -20,11 +20,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     )
     loops = ends.where("u = v").select("u").distinct()
-    links = cut(ends.where("u > v").distinct())
-    before = _state(links)
+    links, before = _written(ends.where("u > v").distinct())
     while before[0]:
-        links = cut(_small_star(_large_star(links)))
-        after = _state(links)
+        links, after = _written(_small_star(_large_star(links)))
         if after == before:
             break
         before = after
@@ -36,7 +34,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the smallest node of its neighbourhood."""
-    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = links.select(F.inline(ways))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where("u <> v").distinct()
@@ -49,7 +48,9 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(links: DataFrame) -> tuple[int, int]:
-    """Number and order-free checksum of the edges, for the end of the rounds."""
-    row = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).head()
-    return int(row[0]), int(row[1])
+def _written(links: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges, written, with their number and an order-free checksum, which are counted as they are written."""
+    seen = Observation()
+    marks = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("sum")
+    written = cut(links.select("u", "v").observe(seen, *marks))
+    return written, (int(seen.get["n"]), int(seen.get["sum"]))
