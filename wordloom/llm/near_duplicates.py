@@ -1,10 +1,10 @@
 """Records that differ by small edits, grouped over links of high set similarity.
 
 64 bands of 4 minima meet a pair of similarity 0.6 with probability 0.99986 and, groups being linked in many ways, lose
-a member less often still. In each bucket all members are first compared with one head; what is linked by then is
-one component, and only members of different components are compared with each other. So a bucket full of copies costs
+a member less often still. In each bucket all members are first compared with its head; what is linked to the same
+smallest record by then belongs together, and only other members are compared with each other. So a bucket full of copies costs
 one comparison a member, and no pair that could still join two groups is skipped. Where a bucket still holds many
-components, since very many pages share a passage, its members meet by an exact join on their rarest shingles instead.
+parts, since very many pages share a passage, its members meet by an exact join on their rarest shingles instead.
 """
 
 from __future__ import annotations
@@ -62,9 +62,8 @@ def class_components(classes: DataFrame, share: float = 0.6, bands: int = 64, ro
     shared = shared_buckets(bucket_rows(classes, "node", [Bands((("grams", rows),), bands)]), "node")
     star = shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     first = cut(linked(star, classes, share))
-    joined = connected_components(first)
     placed = cut(
-        shared.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+        shared.join(_labels(first), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("part"))
     )
     parts = placed.groupBy("bucket").agg(F.count_distinct("part").alias("parts")).where("parts > 1")
     open_rows = placed.join(parts, "bucket")
@@ -73,8 +72,18 @@ def class_components(classes: DataFrame, share: float = 0.6, bands: int = 64, ro
     rest = _across(open_rows.where(F.col("parts") <= CROWD).select("bucket", "node", "part"))
     rest = rest.union(_across(rare.select("bucket", "node", "part"))).distinct().join(star, ["a", "b"], "left_anti")
     second = linked(rest, classes, share)
-    stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return connected_components(stars.union(second))
+    return connected_components(first.union(second))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """``node, label``: the smallest node that a node is linked to, and what that one is linked to in turn.
+
+    Nodes of one label are of one component, whose other labels are found later. It takes no rounds and brings nearly all
+    members of a group together that all look like its smallest one.
+    """
+    near = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("near"))
+    far = near.select(F.col("node").alias("near"), F.col("near").alias("far"))
+    return near.join(far, "near", "left").select("node", F.coalesce("far", "near").alias("label"))
 
 
 def _across(placed: DataFrame) -> DataFrame:
