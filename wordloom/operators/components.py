@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Repeated edges, both directions and loops are allowed; a node with only loops is its own component, rows with a
     null end are left out, and no edges give no rows. Each round is two aggregations and joins on the edges, written
     to the shared folder; the number of rounds grows with the logarithm of the longest path. A node with very many
-    edges is safe: its minimum is combined before the shuffle, and the join that hands it back has one row a node.
+    edges is safe: its minimum is combined before the shuffle, and the join that hands it back has one row a node on one
+side, so a crowded partition of the other may be split. The joins are never broadcasts, whose data no bound would hold.
     """
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
@@ -37,14 +38,14 @@ def _large_star(links: DataFrame) -> DataFrame:
     ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     both = links.select(F.inline(ways))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("u <> v").distinct()
+    moved = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.where("u <> v")  # repeats go with those of the small star
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = links.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
