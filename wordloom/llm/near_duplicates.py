@@ -62,15 +62,15 @@ def class_components(classes: DataFrame, share: float = 0.6, bands: int = 64, ro
     shared = shared_buckets(bucket_rows(classes, "node", [Bands((("grams", rows),), bands)]), "node")
     star = shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     first = cut(linked(star, classes, share))
-    placed = cut(
-        shared.join(_labels(first), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("part"))
-    )
+    placed = shared.join(_labels(first), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("part"))
     parts = placed.groupBy("bucket").agg(F.count_distinct("part").alias("parts")).where("parts > 1")
-    open_rows = placed.join(parts, "bucket")
+    open_rows = cut(placed.join(parts, "bucket"))
+    meeting = open_rows.where(F.col("parts") <= CROWD).select("bucket", "node", "part")
     crowd = open_rows.where(F.col("parts") > CROWD).select("node", "part").distinct()
-    rare = rare_rows(classes.join(crowd.select("node"), "node", "left_semi"), "node", "grams", share).join(crowd, "node")
-    rest = _across(open_rows.where(F.col("parts") <= CROWD).select("bucket", "node", "part"))
-    rest = rest.union(_across(rare.select("bucket", "node", "part"))).distinct().join(star, ["a", "b"], "left_anti")
+    if not crowd.isEmpty():
+        rare = rare_rows(classes.join(crowd.select("node"), "node", "left_semi"), "node", "grams", share)
+        meeting = meeting.union(rare.join(crowd, "node").select("bucket", "node", "part"))
+    rest = _across(meeting).distinct()
     second = linked(rest, classes, share)
     return connected_components(first.union(second))
 

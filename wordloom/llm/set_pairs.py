@@ -46,9 +46,11 @@ def similar_classes(classes: DataFrame, share: tuple[int, int] = (3, 5), bands:
     families = [Bands((("first", 2), ("second", 1)), bands), Bands((("first", 1), ("second", 2)), bands)]
     shared = shared_buckets(bucket_rows(classes, "node", families), "node")
     met = _met(shared.where(F.col("crowd") <= CROWD))
-    crowded = classes.join(shared.where(F.col("crowd") > CROWD).select("node").distinct(), "node", "left_semi")
-    for name in ("first", "second"):  # a similar pair reaches the share in one of its sets
-        met = met.union(_met(rare_rows(crowded, "node", name, share[0] / share[1])))
+    crowd = shared.where(F.col("crowd") > CROWD).select("node").distinct()
+    if not crowd.isEmpty():
+        crowded = classes.join(crowd, "node", "left_semi")
+        for name in ("first", "second"):  # a similar pair reaches the share in one of its sets
+            met = met.union(_met(rare_rows(crowded, "node", name, share[0] / share[1])))
     met = met.distinct()
     side = lambda end: classes.select(*[F.col(c).alias(n) for c, n in zip(classes.columns, (end, f"{end}1", f"{end}2"))])
     both = met.join(side("a"), "a").join(side("b"), "b")
