@@ -202,7 +202,20 @@ def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@registry.query("portable_tools")
+_VERSIONED = r"^@*[A-Za-z0-9._/-]+@[\^~=v]*[0-9][^@]*$"
+_BARE = r"""regexp_replace(string_split(regexp_replace(w, '^[`''"()\[\]{},;]+|[`''"()\[\]{},;]+$', '', 'g'), ':')[1], '\.+$', '')"""
+_PORTABLE = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, [{D.trim("x")} for x in list_slice(string_split(t, '`'), 2, len(string_split(t, '`')), 2)] AS spans, regexp_split_to_array(t, '{D.WS}+') AS w FROM d),
+p AS (SELECT *, [{_BARE} for w in w] AS bare FROM w)
+SELECT doc_id, len(list_filter(spans, lambda s: lower(regexp_split_to_array(s, '{D.WS}+')[1]) IN ({D.quoted(T.KNOWN_TOOLS)})
+    OR regexp_matches(regexp_split_to_array(s, '{D.WS}+')[1], '{_VERSIONED}') OR regexp_matches(s, '^[A-Za-z0-9_-]+{D.WS}*={D.WS}*"*[\^~=<>]*[0-9]'))) > 0
+  OR len(list_filter(w, lambda x: regexp_matches(regexp_replace(x, '^[`''"(),;]+|[`''"(),;]+$', '', 'g'), '{_VERSIONED}'))) > 0 AS names_tool,
+  len(list_filter(bare, lambda b: contains(b, '/') AND NOT contains(b, '://') AND NOT regexp_matches(b, '^[/~$@]') AND (regexp_matches(b, '^\.\.?/')
+    OR (len(list_filter(string_split(b, '/'), lambda y: y <> '')) >= 2 AND (list_filter(string_split(b, '/'), lambda y: y <> '')[1] IN ({D.quoted(T.REPOSITORY_FOLDERS)})
+      OR regexp_matches(list_filter(string_split(b, '/'), lambda y: y <> '')[-1], '.\.[^.]+$')))))) > 0 AS has_path FROM p"""
+
+
+@registry.query("portable_tools", _PORTABLE)
 def portable_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document names a tool or version, and a path of a repository."""
     rows = _documents(spark, sf_dir)
