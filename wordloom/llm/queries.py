@@ -12,7 +12,7 @@ from wordloom.llm.mixing import mix, mix_shares
 from wordloom.llm.near_duplicates import near_duplicate_groups
 from wordloom.llm.sequences import frequent_sequences
 from wordloom.llm.set_pairs import similar_pairs
-from wordloom.llm.sql import P1_FOUND, P2_FOUND, P3_FOUND, P6_DECODED
+from wordloom.llm.sql import P1_FOUND, P2_FOUND, P3_FOUND, P5_FOUND, P6_DECODED
 from wordloom.llm.stuffing import stuffed_pages
 from wordloom.llm.tokens import decode_corpus, encode_corpus
 from wordloom.plans.registry import Registry
@@ -37,7 +37,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_copies(read_table(spark, sf_dir, "wiki_entries"), "id", "content", "tags")
 
 
-@registry.query("p5_found")
+@registry.query("p5_found", P5_FOUND)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = read_table(spark, sf_dir, "transcript_digests")
     kinds = {"tool": F.col("tool_sequence"), "skill": F.col("skill_uses.skill")}

@@ -52,3 +52,25 @@ SELECT min(id) AS id, count(DISTINCT id) AS n_copies FROM f GROUP BY body, block
 """
 
 P6_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
+def _levels(kind: str, steps: str) -> str:
+    """Patterns of 1 to 5 steps, each level from the frequent ones of the last, at their first place in each row."""
+    head = f"""{kind}_rows AS (SELECT row_number() OVER () AS rid, session_id AS sid, {steps} AS steps FROM transcript_digests WHERE session_id IS NOT NULL),
+{kind}_s AS (SELECT rid, sid, pos, item FROM (SELECT rid, sid, unnest(range(1, len(steps) + 1)) AS pos, unnest(steps) AS item FROM {kind}_rows)
+  WHERE item IS NOT NULL AND regexp_matches(item, '[^\\s\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]')),
+{kind}_1 AS (SELECT rid, sid, item AS p, min(pos) AS pos FROM {kind}_s GROUP BY rid, sid, item)"""
+    parts = [head]
+    for n in range(1, 6):
+        parts.append(f"{kind}_f{n} AS (SELECT p, count(DISTINCT sid) AS support FROM {kind}_{n} GROUP BY p HAVING count(DISTINCT sid) * 10 >= (SELECT n FROM total))")
+        if n < 5:
+            parts.append(f"""{kind}_{n + 1} AS (SELECT l.rid, l.sid, l.p || ' > ' || s.item AS p, min(s.pos) AS pos
+  FROM {kind}_{n} l JOIN {kind}_f{n} f ON f.p = l.p JOIN {kind}_s s ON s.rid = l.rid AND s.pos > l.pos GROUP BY l.rid, l.sid, l.p, s.item)""")
+    return ",\n".join(parts)
+
+
+P5_FOUND = (
+    "WITH total AS (SELECT count(DISTINCT session_id) AS n FROM transcript_digests),\n"
+    + _levels("tool", "tool_sequence") + ",\n" + _levels("skill", "[u.skill for u in skill_uses]") + "\n"
+    + "\nUNION ALL ".join(f"SELECT '{k}' AS kind, p AS pattern, support FROM {k}_f{n}" for k in ("tool", "skill") for n in range(2, 6))
+)
