@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,13 +45,35 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def scratch(spark: SparkSession) -> str:
+    """The name of a new folder below the shared one."""
+    return f"{shared_folder(spark)}/wordloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application, wherever they were started."""
+    context = spark.sparkContext
+    if getattr(context, "_wordloom_shipped", False):
+        return
+    package = Path(__file__).parent
+    folder = shared_folder(spark)
+    target = Path(folder.removeprefix("file://") if folder.startswith("file:") else tempfile.mkdtemp(prefix="spark-"))
+    target.mkdir(parents=True, exist_ok=True)
+    archive = target / f"wordloom-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, f"wordloom/{file.relative_to(package)}")
+    context.addPyFile(str(archive))
+    context._wordloom_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that nothing before it runs again.
 
     The files outlive the executors that wrote them; columns and row groups can be skipped on the way back.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/wordloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

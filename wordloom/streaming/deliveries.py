@@ -11,7 +11,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from wordloom.functions.text import strip_space
 from wordloom.operators.delivery import identifier, plain_hash
-from wordloom.streaming.windows import read_stream, scratch
+from wordloom.session import scratch
+from wordloom.streaming.windows import read_stream
 
 
 def first_deliveries(spark: SparkSession, path: str) -> DataFrame:

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.session import shared_folder
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_folder(spark)}/wordloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+from wordloom.session import scratch
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
