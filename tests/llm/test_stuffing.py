@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from wordloom.llm.stuffing import NAMES, measures, stuffed_pages
+from wordloom.llm.stuffing import NAMES, Forest, fit, measures, stuffed_pages
 
 LARGE = "/root/testdata/sf0.1"
 SCHEMA = "doc_id bigint, text string, label int, measures string, features string"
@@ -21,6 +21,19 @@ def test_measures():
     assert measures([]).shape == (0, len(NAMES))
 
 
+def test_forest_as_arrays(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = np.random.default_rng(1)
+    table = rng.random((200, len(NAMES)))
+    rows = [(k, int(t[0] + t[1] > 1), [float(x) for x in t]) for k, t in enumerate(table)]
+    df = spark.createDataFrame(rows, "k int, label int, measures array<double>")
+    model = fit(df, "label", trees=12, depth=5)
+    scored = model.transform(df.select("k", array_to_vector("measures").alias("features"))).orderBy("k")
+    want = [r[0] for r in scored.select(vector_to_array("probability")[1]).collect()]
+    assert np.allclose(Forest(model, str(tmp_path / "forest"), spark).score(table), want)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame(
         [(k, t, 7, "x", "y") for k, t in enumerate([None, "", " ", *["best cheap shoes " * 40] * 6, *["It is what we have read in the store, and so on it goes. " * 6] * 6])], SCHEMA

@@ -9,15 +9,17 @@ a page counts by what makes up most of it. The measures are taken block-wise wit
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.session import scratch
+
 #: Function words of the languages met, in natural order; single characters for Chinese and Japanese.
 FUNCTION_WORDS = frozenset(
     """
@@ -177,18 +179,30 @@ def _by(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 def measured(texts: DataFrame, columns: list[str], text: str) -> DataFrame:
     """The given columns and ``measures ARRAY<DOUBLE>`` of each text; null is like empty."""
 
+    def rows(batch: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([*batch.columns, lists], [*columns, "measures"])
+
+    kept, schema = _with_text(texts, columns, text)
+    return kept.mapInArrow(_by_measures(rows), f"{schema}, measures array<double>")
+
+
+def _with_text(texts: DataFrame, columns: list[str], text: str) -> tuple[DataFrame, str]:
+    kept = texts.select(*columns, F.col(text).alias("__text"))
+    return kept, ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
+
+
+def _by_measures(use: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Callable:
+    """A map over batches whose last column is the text: ``use`` gets the other columns and the measures."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 table = measures([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
-                kept = [batch.column(k) for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, lists], [*columns, "measures"])
+                yield use(batch.select(range(batch.num_columns - 1)), table)
 
-    kept = texts.select(*columns, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
-    return kept.mapInArrow(run, f"{schema}, measures array<double>")
+    return run
 
 
 def fit(labelled: DataFrame, label: str, trees: int = 80, depth: int = 9) -> RandomForestClassificationModel:
@@ -199,6 +213,35 @@ def fit(labelled: DataFrame, label: str, trees: int = 80, depth: int = 9) -> Ran
     ).fit(rows.coalesce(2))
 
 
+class Forest:
+    """A fitted forest as arrays, so that a text is judged where its measures are taken: node by tree, children, shares."""
+
+    def __init__(self, model: RandomForestClassificationModel, folder: str, spark: SparkSession) -> None:
+        model.write().overwrite().save(folder)
+        # as many rows as the forest has nodes: at most trees * 2 ** (depth + 1)
+        nodes = spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
+        first, count = {}, 0
+        for n in nodes:
+            first.setdefault(n.treeID, count)
+            count += 1
+        base = np.array([first[n.treeID] for n in nodes])
+        self.roots = np.array(sorted(first.values()))
+        self.left, self.right = (base + [max(0, n[c]) for n in nodes] for c in ("leftChild", "rightChild"))
+        self.inner = np.array([n.leftChild >= 0 for n in nodes])
+        self.measure = np.array([max(0, n.split.featureIndex) for n in nodes])
+        self.limit = np.array([n.split.leftCategoriesOrThreshold[0] if n.leftChild >= 0 else 0.0 for n in nodes])
+        self.share = np.array([n.impurityStats[1] / (sum(n.impurityStats) or 1.0) for n in nodes])
+
+    def score(self, table: np.ndarray) -> np.ndarray:
+        """The mean share of the label 1 in the leaves that each row of measures falls into."""
+        row = np.arange(len(table))[:, None]
+        at = np.tile(self.roots, (len(table), 1))
+        while (inner := self.inner[at]).any():
+            to = np.where(table[row, self.measure[at]] <= self.limit[at], self.left[at], self.right[at])
+            at = np.where(inner, to, at)
+        return self.share[at].mean(axis=1)
+
+
 def stuffed_pages(
     documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, most_labels: int = 20_000, least: float = 0.45
 ) -> DataFrame:
@@ -216,8 +259,12 @@ def stuffed_pages(
     kinds = train.select("label").distinct().count()
     if kinds < 2:
         return documents.select(key).limit(0)
-    model = fit(train, "label")
+    spark = documents.sparkSession
+    forest = Forest(fit(train, "label"), scratch(spark), spark)
     train.unpersist()
-    found = measured(documents.where(F.col(text) != ""), [key], text)
-    scored = model.transform(found.select(key, array_to_vector("measures").alias("features")))
-    return scored.where(vector_to_array("probability")[1] >= least).select(key)
+
+    def found(batch: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
+        return batch.filter(pa.array(forest.score(table) >= least))
+
+    kept, schema = _with_text(documents.where(F.col(text) != ""), [key], text)
+    return kept.mapInArrow(_by_measures(found), schema)
