@@ -48,9 +48,7 @@ class KnowledgeBase:
 
     def __init__(self, spark: SparkSession, folder: str, scope: str = "project", model: Model = plain_model) -> None:
         self.spark, self.folder, self.scope, self.model = spark, folder, scope, model
-        try:
-            generations.current(spark, folder, scope)
-        except Exception:
+        if not generations.exists(spark, folder, scope):
             generations.commit(spark.createDataFrame([], ENTRY), folder, scope)
 
     def entries(self) -> DataFrame:

@@ -39,6 +39,12 @@ def commit(entries: DataFrame, root: str, scope: str, key: str = "id") -> str:
     return name
 
 
+def exists(spark: SparkSession, root: str, scope: str) -> bool:
+    """Whether the scope has a current generation."""
+    pointer, fs = _path(spark, f"{root}/{scope}/current")
+    return fs.exists(pointer)
+
+
 def current(spark: SparkSession, root: str, scope: str) -> str:
     """The name of the current generation; an error if there is none or the pointer is no SHA-256."""
     name = spark.read.text(f"{root}/{scope}/current").head()[0].strip()
