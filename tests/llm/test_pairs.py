@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from wordloom.llm import near_duplicates, set_pairs
 from wordloom.llm.layout_copies import layout_copies
 from wordloom.llm.near_duplicates import near_duplicate_groups
 from wordloom.llm.set_pairs import similar_pairs
@@ -165,3 +166,23 @@ def test_copies(spark):
     ]
     assert copies(spark, rows) == {"a": 2, "e": 4, "l": 2, "c": 2}
     assert copies(spark, []) == {}
+
+
+def test_crowded_buckets(spark, monkeypatch):
+    """The exact path alone: every bucket counts as crowded."""
+    for module in (set_pairs, near_duplicates):
+        monkeypatch.setattr(module, "CROWD", 1)
+    rows = workflow_rows(7, 120) + [(f"z{k}", ["hot", f"own{k}"], ["hot", f"own{k}"]) for k in range(40)]
+    assert pairs(spark, rows) == brute_pairs(rows)
+    rows = page_rows(8, 120)
+    assert groups(spark, rows) == brute_groups(rows)
+
+
+def test_chains_of_edits(spark):
+    """A group whose ends are unlike: each member is an edit of the one before."""
+    words = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(25):
+        words = [*words[:k], f"new{k}", *words[k + 1 :]]
+        rows.append((f"c{k:02}", "t", " ".join(words)))
+    assert groups(spark, rows) == brute_groups(rows) == {r[0]: "c00" for r in rows}
