@@ -59,3 +59,16 @@ def test_edges(spark):
 def test_read_targets(spark):
     goal = read_targets(spark.createDataFrame([("b", 1.0, None), ("a", 3.0, 2), ("b", 1.0, None)], TARGETS))
     assert (goal.names, goal.weights, goal.caps) == (["a", "b"], [0.75, 0.25], [2, 1])
+
+
+def test_two_classes_after_an_observation(spark):
+    """The session holds an observation, and the classifier has two classes: the model must still reach the tasks."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    docs = documents(spark, {"a": 60, "b": 60, None: 20}, seed=4)
+    got = shares(spark, docs, [("a", 0.5, 1), ("b", 0.5, 1)])
+    assert abs(got["a"].reached_share - 0.5) < 0.03

@@ -22,6 +22,7 @@ def test_measures():
 
 
 def test_forest_as_arrays(spark, tmp_path):
+    from pyspark.ml.classification import RandomForestClassificationModel
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rng = np.random.default_rng(1)
@@ -29,9 +30,11 @@ def test_forest_as_arrays(spark, tmp_path):
     rows = [(k, int(t[0] + t[1] > 1), [float(x) for x in t]) for k, t in enumerate(table)]
     df = spark.createDataFrame(rows, "k int, label int, measures array<double>")
     model = fit(df, "label", trees=12, depth=5)
+    forest = Forest(model, str(tmp_path / "forest"), spark)
+    model = RandomForestClassificationModel.load(str(tmp_path / "forest"))
     scored = model.transform(df.select("k", array_to_vector("measures").alias("features"))).orderBy("k")
     want = [r[0] for r in scored.select(vector_to_array("probability")[1]).collect()]
-    assert np.allclose(Forest(model, str(tmp_path / "forest"), spark).score(table), want)
+    assert np.allclose(forest.score(table), want)
 
 
 def test_edges(spark):

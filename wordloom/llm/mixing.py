@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.text import words
 from wordloom.llm.tokens import VOCABULARY, token_counts
-from wordloom.session import cut
+from wordloom.session import cut, scratch
 
 #: Labelled documents per source that the classifier is fitted on, in expectation.
 SAMPLE = 500
@@ -93,6 +93,10 @@ def posteriors(documents: DataFrame, key: str, text: str, source: str, listed: l
     train = hashing.transform(train).select("features", "label").coalesce(4).cache()
     model = LogisticRegression(maxIter=25, regParam=0.01, standardization=False).fit(train)
     train.unpersist()
+    # a model that was read has no training summary; with two classes that would hold the session, which can't always be sent
+    folder = scratch(documents.sparkSession)
+    model.write().overwrite().save(folder)
+    model = LogisticRegressionModel.load(folder)
     unnamed = filled.where(F.col(source).isNull()).select(key, words(text).alias("words"))
     p = vector_to_array("probability")
     scored = model.transform(hashing.transform(unnamed))

@@ -214,7 +214,10 @@ def fit(labelled: DataFrame, label: str, trees: int = 80, depth: int = 9) -> Ran
 
 
 class Forest:
-    """A fitted forest as arrays, so that a text is judged where its measures are taken: node by tree, children, shares."""
+    """A fitted forest as arrays, so that a text is judged where its measures are taken: node by tree, children, shares.
+
+    The fitted model itself can't always be sent to tasks: its training summary holds the session.
+    """
 
     def __init__(self, model: RandomForestClassificationModel, folder: str, spark: SparkSession) -> None:
         model.write().overwrite().save(folder)
