@@ -191,24 +191,24 @@ def is_documentation_path(path: Column | str) -> Column:
     return F.concat(F.lit("/"), _col(path)).rlike(r"/docs/|/reports/|\.md$")
 
 
-#: Command-line tools, and first path segments of a repository.
+#: Command-line tools, and first path segments of a repository. A house's own are added by parameter.
 KNOWN_TOOLS = (
     "apt", "brew", "bun", "bunx", "cargo", "claude", "cmake", "codex", "curl", "deno", "docker", "gh", "git", "go",
-    "gradle", "helm", "jq", "kubectl", "launchctl", "make", "mvn", "node", "npm", "npx", "pip", "pip3", "pk", "pnpm",
+    "gradle", "helm", "jq", "kubectl", "launchctl", "make", "mvn", "node", "npm", "npx", "pip", "pip3", "pnpm",
     "python", "python3", "rustc", "rustup", "sqlite3", "systemctl", "terraform", "uv", "uvx", "yarn",
 )
 REPOSITORY_FOLDERS = (
-    ".claude", ".github", ".kbd-orchestrator", ".prometheus", "crates", "docs", "hooks", "lib", "scripts", "shared",
-    "skills", "src", "tests",
+    ".claude", ".github", "crates", "docs", "hooks", "lib", "scripts", "shared", "skills", "src", "tests",
 )
 
-def names_tool(text: Column | str) -> Column:
+
+def names_tool(text: Column | str, tools: tuple[str, ...] = KNOWN_TOOLS) -> Column:
     """Whether a code span begins with a known tool, or anything names a version (``name@1.2``, ``name = "1.2"``)."""
     pieces = F.split(F.coalesce(_col(text), F.lit("")), "`")
     spans = F.transform(F.filter(pieces, lambda _, i: i % 2 == 1), strip_space)
     first = lambda s: F.element_at(F.split(s, SPACE), 1)
     span = lambda s: (
-        F.lower(first(s)).isin(*KNOWN_TOOLS) | _is_versioned(first(s))
+        F.lower(first(s)).isin(*tools) | _is_versioned(first(s))
         | s.rlike(r'(?U)^[A-Za-z0-9_-]+\s*=\s*"*[\^~=<>]*[0-9]')
     )
     plain = F.transform(F.split(F.coalesce(_col(text), F.lit("")), SPACE), lambda w: F.regexp_replace(w, r"""^[`'"(),;]+|[`'"(),;]+$""", ""))
@@ -220,7 +220,7 @@ def _is_versioned(word: Column) -> Column:
     return word.contains("@") & name.rlike("^[A-Za-z0-9._/-]+$") & F.regexp_extract(word, "([^@]*)$", 1).rlike(r"^[\^~=v]*[0-9]")
 
 
-def has_repository_path(text: Column | str) -> Column:
+def has_repository_path(text: Column | str, folders: tuple[str, ...] = REPOSITORY_FOLDERS) -> Column:
     """Whether a word is a path within a repository: relative, in a known folder, or ending in a file name."""
 
     def path(word: Column) -> Column:
@@ -228,7 +228,7 @@ def has_repository_path(text: Column | str) -> Column:
         bare = F.regexp_replace(F.substring_index(bare, ":", 1), r"\.+$", "")
         parts = F.filter(F.split(bare, "/"), lambda s: s != "")
         inside = (F.size(parts) >= 2) & (
-            F.try_element_at(parts, F.lit(1)).isin(*REPOSITORY_FOLDERS) | F.try_element_at(parts, F.lit(-1)).rlike(r".\.[^.]+$")
+            F.try_element_at(parts, F.lit(1)).isin(*folders) | F.try_element_at(parts, F.lit(-1)).rlike(r".\.[^.]+$")
         )
         return bare.contains("/") & ~bare.contains("://") & ~bare.rlike(r"^[/~$@]") & (bare.rlike(r"^\.\.?/") | inside)
 
