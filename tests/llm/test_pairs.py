@@ -186,3 +186,16 @@ def test_chains_of_edits(spark):
         words = [*words[:k], f"new{k}", *words[k + 1 :]]
         rows.append((f"c{k:02}", "t", " ".join(words)))
     assert groups(spark, rows) == brute_groups(rows) == {r[0]: "c00" for r in rows}
+
+
+def test_one_set_shared_by_many(spark, monkeypatch):
+    """Equal tool sets beside unlike prompts with one common value: what isn't similar doesn't meet."""
+    monkeypatch.setattr(set_pairs, "CROWD", 8)
+    rng = random.Random(11)
+    rows = [(f"h{k:03}", ["hot", *[f"o{k}-{n}" for n in range(rng.choice([3, 4, 9]))]], ["x", "y"]) for k in range(300)]
+    rows += [(f"i{k:03}", [*rows[k][1][: 1 + len(rows[k][1]) // 2], f"e{k}"], ["x", "y"]) for k in range(0, 300, 7)]
+    rows += [(f"t{k:03}", ["p", "q"], ["hot", *[f"u{k}-{n}" for n in range(9)]]) for k in range(100)] + workflow_rows(12, 60)
+    assert pairs(spark, rows) == brute_pairs(rows)
+    df = spark.createDataFrame(rows, "k string, p array<string>, t array<string>")
+    classes, _ = set_pairs.set_classes(df, "k", "p", "t")
+    assert set_pairs.candidates(classes).count() < 3_000

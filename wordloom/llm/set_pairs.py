@@ -4,7 +4,8 @@ Minwise hashes of both sets are mixed in each band. With a mean similarity of at
 least t, so bands of (2 minima of the first, 1 of the second) and of (1, 2) meet such a pair with probability at least
 0.2 each where t = 0.6; 40 bands of each kind miss a pair that lies exactly on the threshold with 1.4e-4 at the most
 unfavourable split, and far less beyond. Buckets that many records crowd, for they hold little but common values, are
-left to an exact join on the rarest values. Every candidate is then checked on the whole sets, in integers.
+left to an exact join on the rarest values of one set and, where many share these, of the other set too. Every candidate
+is then checked on the whole sets, in integers.
 """
 
 from __future__ import annotations
@@ -43,15 +44,7 @@ def set_classes(records: DataFrame, key: str, first: str, second: str) -> tuple[
 
 def similar_classes(classes: DataFrame, share: tuple[int, int] = (3, 5), bands: int = 40) -> DataFrame:
     """``a, b`` with a < b: the classes whose mean Jaccard similarity is at least ``share`` (a fraction)."""
-    families = [Bands((("first", 2), ("second", 1)), bands), Bands((("first", 1), ("second", 2)), bands)]
-    shared = shared_buckets(bucket_rows(classes, "node", families), "node")
-    met = _met(shared.where(F.col("crowd") <= CROWD))
-    crowd = shared.where(F.col("crowd") > CROWD).select("node").distinct()
-    if not crowd.isEmpty():
-        crowded = classes.join(crowd, "node", "left_semi")
-        for name in ("first", "second"):  # a similar pair reaches the share in one of its sets
-            met = met.union(_met(rare_rows(crowded, "node", name, share[0] / share[1])))
-    met = met.distinct()
+    met = candidates(classes, share, bands)
     side = lambda end: classes.select(*[F.col(c).alias(n) for c, n in zip(classes.columns, (end, f"{end}1", f"{end}2"))])
     both = met.join(side("a"), "a").join(side("b"), "b")
     (common1, all1), (common2, all2) = overlap("a1", "b1"), overlap("a2", "b2")
@@ -59,6 +52,55 @@ def similar_classes(classes: DataFrame, share: tuple[int, int] = (3, 5), bands:
     return both.where(close).select("a", "b")
 
 
+def candidates(classes: DataFrame, share: tuple[int, int] = (3, 5), bands: int = 40) -> DataFrame:
+    """``a, b`` with a < b: the pairs of ``classes(node, first, second)`` whose whole sets are to be compared."""
+    families = [Bands((("first", 2), ("second", 1)), bands), Bands((("first", 1), ("second", 2)), bands)]
+    shared = shared_buckets(bucket_rows(classes, "node", families), "node")
+    met = _met(shared.where(F.col("crowd") <= CROWD))
+    crowd = shared.where(F.col("crowd") > CROWD).select("node").distinct()
+    if not crowd.isEmpty():
+        crowded = cut(classes.join(crowd, "node", "left_semi"))
+        # a similar pair reaches the share in one of its sets
+        met = met.union(_rare_pairs(crowded, "first", "second", share)).union(_rare_pairs(crowded, "second", "first", share))
+    return met.distinct()
+
+
+def _rare_pairs(records: DataFrame, name: str, other: str, share: tuple[int, int]) -> DataFrame:
+    """``a, b`` with a < b: no pair is missing that has the mean ``share`` and reaches it in the set ``name``.
+
+    Such a pair has one of the rarest values of ``name`` in common, and agrees to at least 2 share - 1 in the other set.
+    So where many records hold a rare value, they meet only if they also share one of the rarest values of the other
+    set, as counted among them. Of two such sets the smaller has n - ceil(2 t / (1 + t) n) + 1 values to look at and the
+    larger n - ceil(t n) + 1; the first value they share leaves enough after it in both.
+    """
+    rows = rare_rows(records, "node", name, share[0] / share[1])
+    sized = rows.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    rows = cut(rows.join(sized, "bucket"))
+    least = (2 * share[0] - share[1]) / share[1]
+    if least <= 0:  # any other set will do
+        return _met(rows)
+    many = rows.where(F.col("crowd") > CROWD).select("bucket", "node")
+    values = many.join(records.select("node", F.size(other).alias("size"), F.col(other).alias("items")), "node")
+    values = values.select("bucket", "node", "size", F.explode("items").alias("value"))
+    common = values.groupBy("bucket", "value").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = values.join(common, ["bucket", "value"]).groupBy("bucket", "node", "size").agg(
+        F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v")
+    )
+    # values of a single record come first in its order and meet nothing
+    most = lambda t: F.size("v") - F.ceil(F.lit(t) * F.col("size") - 1e-9) + 1
+    ranked = ranked.withColumns({"larger": most(least), "smaller": most(2 * least / (1 + least)), "held": F.size("v")})
+    heads = ranked.where("larger > 0").select(
+        "bucket", "node", "size", "smaller", "held", F.posexplode(F.slice("v", 1, F.col("larger").cast("int"))).alias("at", "h")
+    )
+    heads = cut(heads.select("bucket", F.col("h.value").alias("value"), "node", "size", (F.col("held") - F.col("at")).alias("after"), (F.col("at") < F.col("smaller")).alias("small")))
+    side = lambda rows, n: rows.select("bucket", "value", F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("size", "after")])
+    both = side(heads.where("small"), "x").join(side(heads, "y"), ["bucket", "value"])
+    fits = (F.col("size_x") <= F.col("size_y")) & (F.col("size_x") >= F.lit(least) * F.col("size_y") - 1e-9)
+    enough = F.least("after_x", "after_y") >= F.lit(least / (1 + least)) * (F.col("size_x") + F.col("size_y")) - 1e-9
+    found = both.where((F.col("x") != F.col("y")) & fits & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return _met(rows.where(F.col("crowd") <= CROWD)).union(found)
+
+
 def _met(rows: DataFrame) -> DataFrame:
     """``a, b`` with a < b of each bucket."""
     left, right = (rows.select("bucket", F.col("node").alias(n)) for n in ("a", "b"))
