@@ -199,3 +199,22 @@ def test_one_set_shared_by_many(spark, monkeypatch):
     df = spark.createDataFrame(rows, "k string, p array<string>, t array<string>")
     classes, _ = set_pairs.set_classes(df, "k", "p", "t")
     assert set_pairs.candidates(classes).count() < 3_000
+
+
+def test_large_groups_that_share_a_passage(spark, monkeypatch):
+    """Two groups of edited copies, unlinked, whose pages share a passage: they aren't compared member by member."""
+    monkeypatch.setattr(near_duplicates, "CROWD", 8)
+    rng = random.Random(21)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for g in "ab":
+        page = [*[f"{g}{k}" for k in range(50)], *passage]
+        for k in range(120):
+            words = list(page)
+            words[rng.randrange(110)] = f"new{g}{k}"
+            rows.append((f"{g}{k:03}", "t", " ".join(words)))
+    seen = []
+    linked = near_duplicates.linked
+    monkeypatch.setattr(near_duplicates, "linked", lambda pairs, *rest: (seen.append(pairs.count()), linked(pairs, *rest))[1])
+    assert groups(spark, rows) == brute_groups(rows)
+    assert sum(seen) < 4_000  # 120 x 120 pairs lie between the groups

@@ -125,6 +125,34 @@ def rare_rows(records: DataFrame, key: str, items: str, share: float) -> DataFra
     return sized.where(most > 0).select(F.explode(F.slice("v", 1, most.cast("int"))).alias("r"), key).select(F.col("r.value").alias("bucket"), key)
 
 
+def rare_heads(values: DataFrame, by: list[str], share: float) -> DataFrame:
+    """``*by, value, node, size, after, small``: the rarest values of each set of ``values(*by, node, size, value)``.
+
+    Sets are compared within ``by`` only, and values are counted there. Two sets that agree to ``share`` have one of the
+    smaller's n - ceil(2 share / (1 + share) n) + 1 rarest values, which are ``small``, in common with the larger's
+    n - ceil(share n) + 1. ``after`` counts the values from this one on that other sets hold too; see may_agree().
+    """
+    common = values.groupBy(*by, "value").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = values.join(common, [*by, "value"]).groupBy(*by, "node", "size").agg(
+        F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v")
+    )
+    # values of a single record come first in its order and meet nothing
+    most = lambda t: (F.size("v") - F.ceil(F.lit(t) * F.col("size") - 1e-9) + 1).cast("int")
+    ranked = ranked.withColumns({"larger": most(share), "smaller": most(2 * share / (1 + share)), "held": F.size("v")})
+    heads = ranked.where("larger > 0").select(
+        *by, "node", "size", "smaller", "held", F.posexplode(F.slice("v", 1, F.col("larger"))).alias("at", "h")
+    )
+    after, small = F.col("held") - F.col("at"), F.col("at") < F.col("smaller")
+    return heads.select(*by, F.col("h.value").alias("value"), "node", "size", after.alias("after"), small.alias("small"))
+
+
+def may_agree(share: float) -> Column:
+    """Whether ``x`` (the smaller) and ``y``, which meet on a value of rare_heads(), can agree to ``share`` if it is their first."""
+    fits = (F.col("size_x") <= F.col("size_y")) & (F.col("size_x") >= F.lit(share) * F.col("size_y") - 1e-9)
+    needed = F.lit(share / (1 + share)) * (F.col("size_x") + F.col("size_y")) - 1e-9
+    return fits & (F.least("after_x", "after_y") >= needed)
+
+
 def with_signature(records: DataFrame, name: str, size: int) -> DataFrame:
     """Add ``signature``: the lowest byte of each of ``size`` minima of the set ``name``; null for an empty set."""
     factors, offsets = _functions(size, SEED - 1)

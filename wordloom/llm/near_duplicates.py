@@ -4,7 +4,8 @@
 a member less often still. In each bucket all members are first compared with its head; what is linked to the same
 smallest record by then belongs together, and only other members are compared with each other. So a bucket full of copies costs
 one comparison a member, and no pair that could still join two groups is skipped. Where a bucket still holds many
-parts, since very many pages share a passage, its members meet by an exact join on their rarest shingles instead.
+parts or large ones, since very many pages share a passage, its members meet by an exact join on their rarest shingles
+instead.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import shingles, words
-from wordloom.llm.minhash import CROWD, Bands, agreeing, bucket_rows, overlap, rare_rows, shared_buckets, with_signature
+from wordloom.llm.minhash import CROWD, Bands, agreeing, bucket_rows, may_agree, overlap, rare_heads, shared_buckets, with_signature
 from wordloom.operators.components import connected_components
 from wordloom.session import cut
 
@@ -63,14 +64,19 @@ def class_components(classes: DataFrame, share: float = 0.6, bands: int = 64, ro
     star = shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     first = cut(linked(star, classes, share))
     placed = shared.join(_labels(first), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("part"))
-    parts = placed.groupBy("bucket").agg(F.count_distinct("part").alias("parts")).where("parts > 1")
-    open_rows = cut(placed.join(parts, "bucket"))
-    meeting = open_rows.where(F.col("parts") <= CROWD).select("bucket", "node", "part")
-    crowd = open_rows.where(F.col("parts") > CROWD).select("node", "part").distinct()
+    sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    parts = sizes.groupBy("bucket").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("members"), F.sum(F.col("n").cast("double") * F.col("n")).alias("inner")
+    ).where("parts > 1")
+    # pairs of different parts, of which a member may be in CROWD on average
+    pairs = (F.col("members").cast("double") * F.col("members") - F.col("inner")) / 2
+    crowded = (F.col("parts") > CROWD) | (pairs > CROWD * F.col("members"))
+    open_rows = cut(placed.join(parts.select("bucket", crowded.alias("crowded")), "bucket"))
+    rest = _across(open_rows.where("not crowded").select("bucket", "node", "part"))
+    crowd = open_rows.where("crowded").select("node", "part").distinct()
     if not crowd.isEmpty():
-        rare = rare_rows(classes.join(crowd.select("node"), "node", "left_semi"), "node", "grams", share)
-        meeting = meeting.union(rare.join(crowd, "node").select("bucket", "node", "part"))
-    rest = _across(meeting).distinct()
+        rest = rest.union(_rare_across(classes.join(crowd, "node"), share))
+    rest = rest.distinct()
     second = linked(rest, classes, share)
     return connected_components(first.union(second))
 
@@ -95,6 +101,22 @@ def _across(placed: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _rare_across(placed: DataFrame, share: float) -> DataFrame:
+    """``a, b``: pairs of ``placed(node, grams, part)`` of different parts, all among them that agree to ``share``.
+
+    They meet on their rarest shingles if their sizes and the places of these allow it, so large parts that only
+    share a passage don't meet, for its shingles are common in both.
+    """
+    values = placed.select("node", F.size("grams").alias("size"), F.explode("grams").alias("value"))
+    heads = cut(rare_heads(values, [], share).join(placed.select("node", "part"), "node"))
+    some = heads.groupBy("value", "part").agg(F.max("small").alias("small"))
+    smaller = some.where("small").select("value", F.col("part").alias("p"))
+    two = smaller.join(some.select("value", F.col("part").alias("q")), "value").where("p <> q")
+    side = lambda rows, p, n: rows.select("value", F.col("part").alias(p), F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("size", "after")])
+    both = two.join(side(heads.where("small"), "p", "x"), ["value", "p"]).join(side(heads, "q", "y"), ["value", "q"])
+    return both.where(may_agree(share)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_duplicate_groups(
     records: DataFrame, key: str, title: str, content: str, size: int = 5, share: float = 0.8
 ) -> DataFrame:

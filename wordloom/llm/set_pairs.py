@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.minhash import CROWD, Bands, bucket_rows, overlap, rare_rows, shared_buckets
+from wordloom.llm.minhash import CROWD, Bands, bucket_rows, may_agree, overlap, rare_heads, rare_rows, shared_buckets
 from wordloom.session import cut
 
 
@@ -70,8 +70,7 @@ def _rare_pairs(records: DataFrame, name: str, other: str, share: tuple[int, int
 
     Such a pair has one of the rarest values of ``name`` in common, and agrees to at least 2 share - 1 in the other set.
     So where many records hold a rare value, they meet only if they also share one of the rarest values of the other
-    set, as counted among them. Of two such sets the smaller has n - ceil(2 t / (1 + t) n) + 1 values to look at and the
-    larger n - ceil(t n) + 1; the first value they share leaves enough after it in both.
+    set, as counted among them.
     """
     rows = rare_rows(records, "node", name, share[0] / share[1])
     sized = rows.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
@@ -81,23 +80,10 @@ def _rare_pairs(records: DataFrame, name: str, other: str, share: tuple[int, int
         return _met(rows)
     many = rows.where(F.col("crowd") > CROWD).select("bucket", "node")
     values = many.join(records.select("node", F.size(other).alias("size"), F.col(other).alias("items")), "node")
-    values = values.select("bucket", "node", "size", F.explode("items").alias("value"))
-    common = values.groupBy("bucket", "value").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = values.join(common, ["bucket", "value"]).groupBy("bucket", "node", "size").agg(
-        F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v")
-    )
-    # values of a single record come first in its order and meet nothing
-    most = lambda t: F.size("v") - F.ceil(F.lit(t) * F.col("size") - 1e-9) + 1
-    ranked = ranked.withColumns({"larger": most(least), "smaller": most(2 * least / (1 + least)), "held": F.size("v")})
-    heads = ranked.where("larger > 0").select(
-        "bucket", "node", "size", "smaller", "held", F.posexplode(F.slice("v", 1, F.col("larger").cast("int"))).alias("at", "h")
-    )
-    heads = cut(heads.select("bucket", F.col("h.value").alias("value"), "node", "size", (F.col("held") - F.col("at")).alias("after"), (F.col("at") < F.col("smaller")).alias("small")))
+    heads = cut(rare_heads(values.select("bucket", "node", "size", F.explode("items").alias("value")), ["bucket"], least))
     side = lambda rows, n: rows.select("bucket", "value", F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("size", "after")])
-    both = side(heads.where("small"), "x").join(side(heads, "y"), ["bucket", "value"])
-    fits = (F.col("size_x") <= F.col("size_y")) & (F.col("size_x") >= F.lit(least) * F.col("size_y") - 1e-9)
-    enough = F.least("after_x", "after_y") >= F.lit(least / (1 + least)) * (F.col("size_x") + F.col("size_y")) - 1e-9
-    found = both.where((F.col("x") != F.col("y")) & fits & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    both = side(heads.where("small"), "x").join(side(heads, "y"), ["bucket", "value"]).where("x <> y").where(may_agree(least))
+    found = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return _met(rows.where(F.col("crowd") <= CROWD)).union(found)
 
 
