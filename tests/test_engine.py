@@ -1,10 +1,11 @@
 """The knowledge base from end to end."""
 
 import random
+import time
 
 import pytest
 
-from wordloom.engine import KnowledgeBase
+from wordloom.engine import KnowledgeBase, plain_model
 from wordloom.operators import keywords, set_join, workflows
 from wordloom.operators.context import context
 
@@ -32,6 +33,31 @@ def test_knowledge_base(spark, tmp_path):
     assert len(kb.focus_query("word_one " * 400)) < 20 and kb.focus_query("short") == "short"
 
 
+def test_ingest_knows_copies(spark, tmp_path):
+    """Copies are known by the raw text, whatever title and words the model makes of it, and near copies take over the id."""
+    def model(batch):
+        made = plain_model(batch)
+        made["title"] = [f"Title {abs(hash(c))}" for c in batch["content"]]
+        made["description"] = str(time.time())
+        return made
+
+    ask = lambda *rows: spark.createDataFrame(rows, "path string, content string")
+    words = " ".join(f"w{k}" for k in range(40))
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"), model=model)
+    kb.ingest(ask(("a", words), ("b", words + " more"), ("c", "something else")))
+    first = {r.content: r for r in kb.entries().collect()}
+    assert set(first) == {words + " more", "something else"}  # a and b are near copies, the last stays
+    kb.ingest(ask(("d", words + " other"), ("e", "Something  ELSE")))
+    second = {r.content: r for r in kb.entries().collect()}
+    assert set(second) == {words + " other", "something else"}
+    assert second[words + " other"].id == first[words + " more"].id and second[words + " other"].revision == 2
+    kb.model = lambda batch: model(batch).assign(content="worded anew")
+    kb.ingest(ask(("f", "third text")))
+    kb.model = lambda batch: model(batch).assign(content="in yet other words", title="New")
+    kb.ingest(ask(("g", "third text")))
+    assert kb.entries().count() == 3 and kb.entries().where("id = 'new'").isEmpty()
+
+
 ENTRY = "scope string, id string, title string, description string, content string, tags array<string>"
 
 

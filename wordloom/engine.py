@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators import context as C
-from wordloom.operators import keywords, links, search, snapshots
+from wordloom.operators import keywords, links, search, set_join, snapshots
+from wordloom.operators.clusters import leader_clusters
 from wordloom.session import cut
 from wordloom.sources import generations
 
@@ -25,6 +26,9 @@ ENTRY = (
 #: A model: gets a batch of raw documents (``path, content, related``) and gives ``title, content, tags, description, entry_type``.
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 
+#: Share of its words from which a text is a near copy of an entry.
+NEAR_COPY = 0.85
+
 _COMPILED = "title string, content string, tags array<string>, description string, entry_type string"
 
 
@@ -75,16 +79,19 @@ class KnowledgeBase:
         return best.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("related"))
 
     def compile(self, raw: DataFrame, tags: tuple[str, ...] = (), entry_type: str | None = None) -> DataFrame:
-        """The entries that raw documents ``(path, content)`` become: the model's, with the caller's tags first."""
+        """The entries that raw documents ``(path, content)`` become: the model's, with the caller's tags first.
+
+        The content hash is the raw document's, for a model may word its content anew each time.
+        """
         model = self.model
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                made = model(batch).reset_index(drop=True)
-                yield pd.concat([batch[["path"]].reset_index(drop=True), made], axis=1)
+                made = model(batch.drop(columns="raw_hash")).reset_index(drop=True)
+                yield pd.concat([batch[["path", "raw_hash"]].reset_index(drop=True), made], axis=1)
 
-        asked = raw.join(self.related(raw), "path", "left").select("path", "content", "related")
-        made = asked.mapInPandas(run, f"path string, {_COMPILED}")
+        asked = raw.join(self.related(raw), "path", "left").select("path", "content", "related", T.content_hash("content").alias("raw_hash"))
+        made = asked.mapInPandas(run, f"path string, raw_hash string, {_COMPILED}")
         listed = F.concat(F.array(*map(F.lit, tags)).cast("array<string>"), F.coalesce("tags", F.array().cast("array<string>")))
         tidy = F.array_distinct(F.filter(F.transform(listed, lambda t: T.strip_space(t)), lambda t: t != ""))
         now = F.current_timestamp()
@@ -94,14 +101,49 @@ class KnowledgeBase:
             now.alias("created_at"), now.alias("updated_at"), F.lit(1).alias("revision"),
             F.coalesce(F.nullif(F.trim(F.lit(entry_type)), F.lit("")), "entry_type").alias("entry_type"), "description",
             F.lit("model").alias("generated_by"), F.lit(self.scope).alias("scope"),
-            F.create_map().cast("map<string,string>").alias("extra"), T.content_hash("content").alias("content_hash"),
+            F.create_map().cast("map<string,string>").alias("extra"), F.col("raw_hash").alias("content_hash"),
         )
 
     def ingest(self, raw: DataFrame, **how: Any) -> str:
-        """Compile raw documents and merge them in; content that an entry already has changes nothing."""
-        made = self.compile(raw, **how).dropDuplicates(["content_hash"])
-        new = made.join(self.entries().select("content_hash").distinct(), "content_hash", "left_anti").select([f.strip().split()[0] for f in _fields()])
-        return self._commit(snapshots.upsert(self.entries().select(new.columns), new, F.current_timestamp()))
+        """Compile raw documents and merge them in; raw content that an entry was made of already changes nothing.
+
+        A raw document whose words agree to NEAR_COPY with an entry's takes over the id of the most similar one (of
+        equally similar ones the last id). So do those that agree with an earlier one of ``raw``, by path, that has none
+        to take over; of these the last stays.
+        """
+        columns = [f.strip().split()[0] for f in _fields()]
+        made = cut(self.compile(raw, **how)).withColumn("path", F.col("sources")[0]["resource"])
+        one = made.groupBy("content_hash").agg(F.min_by(F.struct(*made.columns), F.struct("path", "id")).alias("r")).select("r.*")
+        fresh = cut(one.join(self.entries().select("content_hash").distinct(), "content_hash", "left_anti"))
+        texts = raw.select(T.content_hash("content").alias("content_hash"), "content").dropDuplicates(["content_hash"])
+        known = self._known(texts.join(fresh.select("content_hash", "path", F.col("id").alias("own")), "content_hash"))
+        named = fresh.join(known, "content_hash", "left").withColumn("id", F.coalesce("known", "id"))
+        place = Window.partitionBy("known").orderBy(F.desc("path"), "content_hash")
+        new = named.withColumn("n", F.row_number().over(place)).where("known IS NULL OR n = 1").select(columns)
+        return self._commit(snapshots.upsert(self.entries().select(columns), new, F.current_timestamp()))
+
+    def _known(self, texts: DataFrame) -> DataFrame:
+        """``content_hash, known``: the id to take over, of ``texts(content_hash, content, path, own)`` that are near copies."""
+        texts = cut(texts)
+        old = self.entries().select(F.concat(F.lit("o"), "id").alias("key"), "content")
+        both = texts.select(F.concat(F.lit("n"), "content_hash").alias("key"), "content").union(old)
+        classes, members = set_join.set_classes(both, "key", T.normal_words("content"))
+        members = cut(members)
+        pairs = cut(set_join.similar_sets(classes, NEAR_COPY))
+        ways = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity"))
+        ways = ways.union(classes.select("node", F.col("node").alias("b"), F.lit(1.0)))
+        ids = members.where("key LIKE 'o%'").groupBy("node").agg(F.max("key").alias("key"))  # one of equal sets will do
+        docs = members.where("key LIKE 'n%'").select(F.col("node").alias("a"), F.expr("substring(key, 2)").alias("content_hash"))
+        met = docs.join(ways, "a").join(ids.withColumnRenamed("node", "b"), "b")
+        best = cut(met.groupBy("content_hash").agg(F.expr("substring(max_by(key, struct(similarity, key)), 2)").alias("known")))
+        rest = cut(docs.join(best, "content_hash", "left_anti"))
+        side = lambda n, end: rest.select(F.col("a").alias(n), F.col("content_hash").alias(end))
+        near = ways.join(side("a", "x"), "a").join(side("b", "y"), "b").where("x < y")
+        nodes = cut(texts.join(rest, "content_hash", "left_semi").select(F.col("content_hash").alias("node"), F.col("path").alias("place")))
+        led = leader_clusters(nodes, cut(near.select(F.col("x").alias("a"), F.col("y").alias("b"), "similarity")))
+        own = texts.select(F.col("content_hash").alias("anchor"), F.col("own").alias("known"))
+        grouped = led.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
+        return best.union(grouped.join(own, "anchor").select(F.col("node").alias("content_hash"), "known"))
 
     def delete(self, *ids: str) -> str:
         return self._commit(snapshots.delete(self.entries(), self.spark.createDataFrame([(i,) for i in ids], "id string")))
