@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from wordloom.llm import mixing
 from wordloom.llm.mixing import mix, mix_shares, read_targets
 from wordloom.llm.tokens import VOCABULARY
 
@@ -72,3 +73,14 @@ def test_two_classes_after_an_observation(spark):
     docs = documents(spark, {"a": 60, "b": 60, None: 20}, seed=4)
     got = shares(spark, docs, [("a", 0.5, 1), ("b", 0.5, 1)])
     assert abs(got["a"].reached_share - 0.5) < 0.03
+
+
+def test_listed_sources_stay_among_many(spark, monkeypatch):
+    """More sources than can be classes: the listed ones are classes all the same, the others are one."""
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 4)
+    names = [f"{c}source" for c in "abcdefghijkl"]
+    docs = documents(spark, {n: 12 for n in names})
+    listed = [names[1], names[6], names[11]]
+    asked = spark.createDataFrame([(1000 + k, " ".join(f"{n}{i}" for i in range(10)), None, 1, "x", "y", 2, 3) for k, n in enumerate(listed)], DOCS)
+    found = {r.doc_id: r.p for r in mixing.posteriors(docs.union(asked), "doc_id", "text", "source", listed).collect()}
+    assert [found[1000 + k].index(max(found[1000 + k])) for k in range(3)] == [0, 1, 2] and all(min(p) > 0 for p in found.values())

@@ -37,6 +37,8 @@ STEPS, STILL = 30, 1e-6
 LARGE = 200
 #: Sources that may be listed.
 MOST_SOURCES = 1000
+#: Class of the sources that aren't listed, where they are too many to be classes of their own.
+OTHER = "\0other"
 
 
 @dataclass(frozen=True)
@@ -78,10 +80,16 @@ def posteriors(documents: DataFrame, key: str, text: str, source: str, listed: l
     """``key, p`` of the documents without a source: the probability of each listed source, in order.
 
     A multinomial logistic regression on hashed words is fitted on about ``sample`` documents of each source, chosen by
-    the hash of their key; sources that aren't listed are classes too. None if fewer than two sources have documents.
+    the hash of their key; sources that aren't listed are classes too, all of them one
+    class where there are more than MOST_SOURCES. None if fewer than two sources have documents.
     """
     filled = documents.where(F.col(text) != "").select(key, text, source)
-    counts = {r[0]: r[1] for r in filled.where(F.col(source).isNotNull()).groupBy(source).count().limit(MOST_SOURCES).collect()}
+    by_source = lambda rows: rows.where(F.col(source).isNotNull()).groupBy(source).count().limit(MOST_SOURCES + 1).collect()
+    counts = {r[0]: r[1] for r in by_source(filled)}
+    if len(counts) > MOST_SOURCES:
+        kind = F.when(F.col(source).isin(listed), F.col(source)).when(F.col(source).isNotNull(), OTHER)
+        filled = filled.withColumn(source, kind)
+        counts = {r[0]: r[1] for r in by_source(filled)}
     if len(counts) < 2:
         return None
     names = sorted(counts)
