@@ -60,3 +60,10 @@ def test_held_out_accuracy(spark):
     found = {r[0] for r in stuffed_pages(held.union(docs.join(labels.where(~part).select("doc_id"), "doc_id")), labels.where(~part), "doc_id", "text", "is_spam").collect()}
     hits = sum(truth[k] for k in truth if k in found)
     assert hits >= 0.93 * sum(truth.values()) and hits >= 0.93 * len(found & truth.keys())
+
+
+@pytest.mark.parametrize("period", [7, 9, 11, 13, 23])
+def test_every_period_has_a_lag(period):
+    """A phrase that is repeated agrees with itself at the lag of its length."""
+    row = dict(zip(NAMES, measures([" ".join([" ".join(f"w{k}" for k in range(period))] * 20)])[0]))
+    assert row["lag_most"] > 0.9

@@ -39,7 +39,7 @@ FUNCTION_WORDS = frozenset(
 #: Terms of a window, and how many terms back a recurrence counts as near.
 WINDOW, NEAR = 20, 48
 #: Lags of the autocorrelation.
-LAGS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 24)
+LAGS = tuple(range(1, 25))
 
 _CJK = "぀-ヿ㐀-鿿"
 #: Terms, ends of sentences and ends of lines.
