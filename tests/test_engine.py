@@ -58,6 +58,16 @@ def test_ingest_knows_copies(spark, tmp_path):
     assert kb.entries().count() == 3 and kb.entries().where("id = 'new'").isEmpty()
 
 
+def test_related_counts_common_terms(spark, tmp_path):
+    """Terms that more than a tenth of the entries hold rank too."""
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    held = {f"e{k:02}": f"own{k} filler" + (" lease" * (k + 1) if k < 15 else "") for k in range(60)}
+    entries = spark.createDataFrame([(k, v) for k, v in held.items()], "id string, content string")
+    kb.entries = lambda: entries
+    found = kb.related(spark.createDataFrame([("p", "lease")], "path string, content string"), 3).head()
+    assert found and found.related == ["e14", "e13", "e12"]
+
+
 ENTRY = "scope string, id string, title string, description string, content string, tags array<string>"
 
 

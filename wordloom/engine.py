@@ -64,14 +64,14 @@ class KnowledgeBase:
         return generations.commit(cut(entries), self.folder, self.scope)
 
     def related(self, raw: DataFrame, k: int = 5) -> DataFrame:
-        """``path, related``: up to ``k`` ids of entries that share most rare terms with each raw document's first 500 bytes.
+        """``path, related``: up to ``k`` ids of the entries best by TF-IDF for the terms of each raw document's first 500 bytes.
 
-        Terms that more than a tenth of the entries hold (and more than ten) say little and are left out of this ranking.
+        All terms count, so a term that very many entries hold costs a row for each of them and each document with it.
         """
         heads = raw.select("path", F.explode(F.array_distinct(T.index_tokens(T.cut_bytes(F.coalesce("content", F.lit("")), 500)))).alias("term"))
         posted = search.postings(self.entries(), "id", "content")
         total = self.entries().count()
-        frequent = posted.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= max(10, total // 10))
+        frequent = posted.groupBy("term").agg(F.count("*").alias("df"))
         weighed = frequent.select("term", F.log(F.lit(float(max(total, 1))) / (F.col("df") + 1)).alias("idf"))
         scores = heads.join(weighed, "term").join(posted, "term").groupBy("path", "id").agg(F.sum(F.col("tf") * F.col("idf")).alias("s"))
         n = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("s"), "id"))
