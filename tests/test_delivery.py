@@ -78,3 +78,24 @@ def test_against_brute_force(spark):
     stay = {v[2] for v in best.values()}
     assert surplus(spark, rows) == sorted(r[0] for r in rows if r[0] not in stay)
     assert kept_deliveries(table(spark, rows)).count() == len(best)
+
+
+def test_receipts_without_progress():
+    """A receipt with a null progress is one like others: it counts as unchanged after another null."""
+    import pandas as pd
+
+    from wordloom.streaming.deliveries import ReceiptTracker
+
+    class State:
+        kept = None
+        exists = lambda self: self.kept is not None
+        get = lambda self: self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    tracker = ReceiptTracker()
+    tracker.seen = State()
+    rows = pd.DataFrame({"delivered_at": [1, 2, 3], "delivery_id": ["a", "b", "c"], "state": ["open"] * 3, "progress": [None, None, 4.0]})
+    found = [next(tracker.handleInputRows(("o",), iter([part]), None)).iloc[0] for part in (rows[:2], rows[2:])]
+    assert (found[0].polls, found[0].progress, found[1].polls, found[1].progress) == (1, None, 0, 4)

@@ -50,9 +50,10 @@ class ReceiptTracker(StatefulProcessor):
         known = before is not None
         batch = pd.concat(list(rows)).sort_values(["delivered_at", "delivery_id"])
         for row in batch.itertuples():
-            same = known and row.state == state and row.progress == progress
+            reached = None if pd.isna(row.progress) else int(row.progress)
+            same = known and row.state == state and reached == progress
             polls = polls + 1 if same else 0
-            state, progress, known = row.state, int(row.progress), True
+            state, progress, known = row.state, reached, True
         self.seen.update((state, progress, polls))
         wait = min(self.base * 2 ** min(polls - 1, 40), self.most) if polls else 0
         yield pd.DataFrame({"operation": [key[0]], "state": [state], "progress": [progress], "polls": [polls], "wait_seconds": [wait]})
