@@ -99,3 +99,42 @@ def test_receipts_without_progress():
     rows = pd.DataFrame({"delivered_at": [1, 2, 3], "delivery_id": ["a", "b", "c"], "state": ["open"] * 3, "progress": [None, None, 4.0]})
     found = [next(tracker.handleInputRows(("o",), iter([part]), None)).iloc[0] for part in (rows[:2], rows[2:])]
     assert (found[0].polls, found[0].progress, found[1].polls, found[1].progress) == (1, None, 0, 4)
+
+
+def test_blocks_and_shards_without_spark(monkeypatch):
+    """Many small blocks: winners meet again in their shards, the losers of a block are passed on."""
+    import numpy as np
+    import pyarrow as pa
+
+    from wordloom.operators import delivery
+
+    monkeypatch.setattr(delivery, "BLOCK", 16)
+    rng = random.Random(9)
+    messages = [(rng.choice(["hot", "x" * 47, "y" * 48, "z" * 200, "", "ü"]), rng.choice([H[0], H[1], "short", "f" * 64, "F" * 64, None])) for _ in range(30)]
+    rows = [(*rng.choice(messages), rng.choice([rng.randint(0, 9), (1 << 63) - 1]), k) for k in range(600)]
+    part = lambda n, kinds, rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], n)
+    batches = [part(["operation", "hash", "at", "id"], [pa.string(), pa.string(), pa.int64(), pa.int64()], rows[k : k + 7]) for k in range(0, 600, 7)]
+    met = pa.Table.from_batches(delivery._met_first(iter(batches))).sort_by("shard")
+    out = pa.Table.from_batches(delivery._met_again(iter(met.to_batches(max_chunksize=5)))).to_pylist()
+    best, count = {}, {}
+    for o, h, at, d in rows:
+        best[o, h] = min(best.get((o, h), (at, d)), (at, d))
+        count[o, h] = count.get((o, h), 0) + 1
+    stay = {best[m][1]: count[m] for m in best}
+    assert {r["id"]: r["deliveries"] for r in out if r["deliveries"] is not None} == stay
+    assert sorted(r["id"] for r in out if r["deliveries"] is None) == sorted({r[3] for r in rows} - stay.keys())
+    words = np.arange(40, dtype=np.uint64).reshape(20, 2)
+    assert len(np.unique(delivery.permuted(words), axis=0)) == 20
+
+
+def test_one_pass_and_spread(spark):
+    """One scan, no sort-based aggregate; one operation's messages spread over the shards."""
+    rows = [(k, "hot", "%064x" % k, None, None) for k in range(2000)]
+    plan = surplus_deliveries(table(spark, rows))._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan and plan.split("== Physical Plan ==")[1].count("Scan ") <= 1
+    from pyspark.sql import functions as F
+
+    from wordloom.operators import delivery
+
+    named = table(spark, rows).select(F.col("operation_id").alias("operation"), F.col("payload_hash").alias("hash"), F.lit(0).cast("bigint").alias("at"), F.col("delivery_id").alias("id"))
+    assert named.mapInArrow(delivery._met_first, delivery._SETTLED).select("shard").distinct().count() > 1900
