@@ -73,4 +73,4 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = (read_table(spark, sf_dir, name) for name in ("documents", "page_labels"))
-    return stuffed_pages(documents, labels, "doc_id", "text", "is_spam")
+    return stuffed_pages(documents, labels, "doc_id", "text", "is_spam", "lang")
