@@ -64,3 +64,33 @@ def test_edges(spark):
     assert found(spark, []) == {}
     assert found(spark, [("a", None)]) == {}
     assert found(spark, [("a", ["q"] * 3000)], longest=3) == {"q > q": 1, "q > q > q": 1}
+
+
+def test_many_items_at_a_low_share(spark):
+    """10,000 items at a share of 0.001: memory grows with the steps, not with steps times items."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = [(f"s{k}", [f"i{min(9999, int(rng.paretovariate(0.35))) if rng.random() < 0.5 else rng.randint(1, 9999)}" for _ in range(rng.randint(2, 14))]) for k in range(6000)]
+    assert len({x for _, r in rows for x in r}) > 5000
+    assert found(spark, rows, Fraction(1, 1000), 2) == brute(rows, Fraction(1, 1000), 2)
+    steps = pa.array([r for _, r in rows])
+    items = pa.array([f"i{k}" for k in range(1, 10_000)])
+    tracemalloc.start()
+    diagram = sequences.Diagram(steps, items)
+    mined = diagram.mine(np.ones(len(rows), np.int64), 30, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert mined and peak < 100e6  # a table of nodes by items would take a gigabyte
+
+
+def test_bound_leaves_out_what_cannot_reach_the_support(spark):
+    """Patterns of one block alone are no candidates where the other blocks can't add enough."""
+    rows = [(f"s{k}", ["a", "b", f"c{k % 3}"]) for k in range(90)] + [(f"t{k}", ["x", "y", f"z{k}"]) for k in range(9)]
+    df = spark.createDataFrame(rows, "entity string, steps array<string>").repartition(1)
+    patterns, n = sequences._candidates(df, Fraction(1, 10), 3, 10)
+    kept = {tuple(r[0]) for r in patterns.collect()}
+    assert ("x", "y") not in kept and ("a", "b", "c0") in kept and len(kept) == n
