@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.layout_copies import layout_copies
-from wordloom.llm.mixing import mix, mix_shares
+from wordloom.llm.mixing import calibration, mix, mix_shares
 from wordloom.llm.near_duplicates import near_duplicate_groups
 from wordloom.llm.sequences import frequent_sequences
 from wordloom.llm.set_pairs import similar_pairs
@@ -70,6 +70,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(documents, targets, "doc_id", "text", "source")
 
 
+@registry.query("p7_calibration")
+def p7_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out documents of each listed source beside the sum of their posteriors."""
+    documents, targets = (read_table(spark, sf_dir, name) for name in ("documents", "mix_targets"))
+    return calibration(documents, targets, "doc_id", "text", "source")
+
+
 @registry.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = (read_table(spark, sf_dir, name) for name in ("documents", "page_labels"))
