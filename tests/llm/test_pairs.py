@@ -8,7 +8,7 @@ import pytest
 from wordloom.llm import near_duplicates, set_pairs
 from wordloom.llm.layout_copies import layout_copies
 from wordloom.llm.near_duplicates import near_duplicate_groups
-from wordloom.llm.set_pairs import similar_pairs
+from wordloom.llm.set_pairs import similar_members, similar_pairs
 
 PAIRS = "workflow_id string, prompt_shingles array<string>, tool_shingles array<string>, node bigint, bucket string, first int, a int, key int"
 PAGES = "id string, title string, content string, tags array<string>, node bigint, bucket string, grams string, part int, key int, form string"
@@ -78,6 +78,28 @@ def test_hot_copies(spark):
     assert pairs(spark, rows) == brute_pairs(rows)
 
 
+def test_blocks_of_a_hot_class(spark, monkeypatch):
+    """A class larger than a block: its pairs are listed block by block, and counted without being listed."""
+    rows = [(f"h{k:03}", ["1", "2"], ["x"]) for k in range(90)] + [(f"i{k:03}", ["1", "2", "3"], ["x"]) for k in range(40)] + workflow_rows(5, 50)
+    monkeypatch.setattr(set_pairs, "blocks", lambda members, size=7, made=set_pairs.blocks: made(members, size))
+    want = brute_pairs(rows)
+    assert pairs(spark, rows) == want
+    df = spark.createDataFrame([(*r, 1, "x", 2, 3, 4) for r in [*rows, ("h000", ["2", "1"], ["x"]), (None, ["1"], ["x"]), ("z", None, ["x"])]], PAIRS)
+    got = {r.workflow_id: (r.class_id, r.links) for r in similar_members(df, "workflow_id", "prompt_shingles", "tool_shingles").collect()}
+    sets = {k: (frozenset(p), frozenset(t)) for k, p, t in rows}
+    assert got == {k: (min(j for j in sets if sets[j] == sets[k]), sum(k in p for p in want)) for k in sets}
+
+
+def test_block_tasks_are_bounded(spark):
+    """20,000 equal records: no group of the join that lists their pairs has more than two blocks of members."""
+    from pyspark.sql import functions as F
+
+    members = spark.range(20_000).select(F.lit(1).cast("bigint").alias("node"), F.col("id").cast("string").alias("key"))
+    placed = set_pairs.blocks(members)
+    assert placed.groupBy("block").count().agg(F.max("count")).head()[0] < 1.2 * set_pairs.MEMBERS
+    assert placed.select("parts").distinct().collect() == [(10,)]
+
+
 def groups(spark, rows, size=3, share=0.6):
     df = spark.createDataFrame([(*r, None, 1, "x", "y", 2, 3, "z") for r in rows], PAGES)
     return {r.id: r.group_id for r in near_duplicate_groups(df, "id", "title", "content", size, share).collect()}
@@ -206,15 +228,21 @@ def test_large_groups_that_share_a_passage(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "CROWD", 8)
     rng = random.Random(21)
     passage = [f"p{k}" for k in range(60)]
-    rows = []
-    for g in "ab":
-        page = [*[f"{g}{k}" for k in range(50)], *passage]
-        for k in range(120):
-            words = list(page)
-            words[rng.randrange(110)] = f"new{g}{k}"
-            rows.append((f"{g}{k:03}", "t", " ".join(words)))
     seen = []
     linked = near_duplicates.linked
     monkeypatch.setattr(near_duplicates, "linked", lambda pairs, *rest: (seen.append(pairs.count()), linked(pairs, *rest))[1])
-    assert groups(spark, rows) == brute_groups(rows)
-    assert sum(seen) < 4_000  # 120 x 120 pairs lie between the groups
+
+    def compared(n):
+        rows = []
+        for g in "ab":
+            page = [*[f"{g}{k}" for k in range(50)], *passage]
+            for k in range(n):
+                words = list(page)
+                words[rng.randrange(110)] = f"new{g}{k}"
+                rows.append((f"{g}{k:03}", "t", " ".join(words)))
+        seen.clear()
+        assert groups(spark, rows) == brute_groups(rows)
+        return sum(seen)
+
+    few, many = compared(240), compared(480)
+    assert few < 8_000 and many < 2 * few  # 240 x 240 pairs lie between the groups, and four times as many

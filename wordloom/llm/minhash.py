@@ -83,13 +83,9 @@ def bucket_rows(records: DataFrame, key: str, families: list[Bands]) -> DataFram
                 rows = []
                 for f in families:
                     for _ in range(f.count):
-                        mixed = np.full(to - at, len(rows) + 1, dtype=np.uint64)
-                        for name, r in f.rows:
-                            for m in minima[name][used[name] : used[name] + r]:
-                                mixed = (mixed ^ m) * np.uint64(0x9E3779B97F4A7C15)
-                                mixed ^= mixed >> np.uint64(31)
-                            used[name] += r
-                        rows.append(mixed.view(np.int64))
+                        band = np.concatenate([minima[name][used[name] : used[name] + r] for name, r in f.rows])
+                        used = {name: used[name] + dict(f.rows).get(name, 0) for name in used}
+                        rows.append(_mixed(band, len(rows) + 1).view(np.int64))
                 out = pa.array(np.stack(rows, axis=1).ravel())
                 which = pa.array(np.repeat(np.arange(at, to), len(rows)))
                 yield pa.RecordBatch.from_arrays([out, keys.take(which)], ["bucket", key])
@@ -153,27 +149,44 @@ def may_agree(share: float) -> Column:
     return fits & (F.least("after_x", "after_y") >= needed)
 
 
-def with_signature(records: DataFrame, name: str, size: int) -> DataFrame:
-    """Add ``signature``: the lowest byte of each of ``size`` minima of the set ``name``; null for an empty set."""
-    factors, offsets = _functions(size, SEED - 1)
+def _mixed(rows: np.ndarray, band: int) -> np.ndarray:
+    """One number of the minima of a band: minima x sets."""
+    mixed = np.full(rows.shape[1], band, dtype=np.uint64)
+    for m in rows:
+        mixed = (mixed ^ m) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+    return mixed
+
+
+def with_bands(records: DataFrame, name: str, count: int, rows: int) -> DataFrame:
+    """Add ``signature``, the lowest byte of each of count * rows minima of the set ``name``, and ``buckets``, one of each band.
+
+    Both are taken of the same minima: that two records agree in one band says little about the others. They are null for
+    an empty set.
+    """
+    factors, offsets = _functions(count * rows, SEED - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, at = batch.column(batch.schema.get_field_index(name)), 0
-            signatures: list[bytes | None] = []
+            column = batch.column(batch.schema.get_field_index(name))
             full = np.flatnonzero(np.diff(column.offsets.to_numpy()) > 0)
-            signatures = [None] * len(column)
             kept = column.take(pa.array(full))
+            bytes_, buckets = np.zeros((len(full), count * rows), np.uint8), np.zeros((len(full), count), np.int64)
             for at, to in _chunks(kept) if len(full) else ():
-                low = _minima(*_sets(kept.slice(at, to - at)), factors, offsets).astype(np.uint8).T.copy()
-                for k in range(to - at):
-                    signatures[full[at + k]] = low[k].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(signatures, pa.binary())], [*batch.schema.names, "signature"]
-            )
+                minima = _minima(*_sets(kept.slice(at, to - at)), factors, offsets)
+                bytes_[at:to] = minima.astype(np.uint8).T
+                for k in range(count):
+                    buckets[at:to, k] = _mixed(minima[k * rows : (k + 1) * rows], k + 1).view(np.int64)
+            place = np.full(len(column), -1)
+            place[full] = np.arange(len(full))
+            place = pa.array(place, mask=place < 0)
+            signature = pa.Array.from_buffers(pa.binary(count * rows), len(full), [None, pa.py_buffer(bytes_)]).cast(pa.binary())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(full) + 1) * count, count, dtype=np.int32)), pa.array(buckets.ravel()))
+            columns = [*batch.columns, signature.take(place), lists.take(place)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "signature", "buckets"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in records.dtypes)
-    return records.mapInArrow(run, f"{schema}, signature binary")
+    return records.mapInArrow(run, f"{schema}, signature binary, buckets array<bigint>")
 
 
 def agreeing(pairs: DataFrame, left: str, right: str, least: int) -> DataFrame:

@@ -14,16 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import shingles, words
-from wordloom.llm.minhash import CROWD, Bands, agreeing, bucket_rows, may_agree, overlap, rare_heads, shared_buckets, with_signature
+from wordloom.llm.minhash import CROWD, agreeing, may_agree, overlap, rare_heads, shared_buckets, with_bands
 from wordloom.operators.components import connected_components
 from wordloom.session import cut
 
-#: Bytes of a signature; at similarity s a share s + (1 - s) / 256 of them agrees.
-SIGNATURE = 256
+#: Bands and minima of each. Their lowest bytes are the signature; at similarity s a share s + (1 - s) / 256 of it agrees.
+BANDS, ROWS = 64, 4
+SIGNATURE = BANDS * ROWS
 
 
 def text_classes(records: DataFrame, key: str, title: str, content: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """Records with equal shingles as one class: ``classes(node, grams, signature)`` and ``members(node, key)``.
+    """Records with equal shingles as one class: ``classes(node, grams, signature, buckets)`` and ``members(node, key)``.
 
     Shingles are runs of ``size`` words of title, line feed and content, as 64-bit hashes. Records with a null key,
     without a word in the content, or too short for a shingle are left out. Repeated rows of one key are one record;
@@ -34,14 +35,17 @@ def text_classes(records: DataFrame, key: str, title: str, content: str, size: i
         F.col(key).alias("key"), words(whole).alias("words")
     )
     # the words stand in a projection of their own: inside the shingles' lambda they would be found again for each
-    held = worded.select("key", shingles(F.col("words"), size).alias("grams")).select(
-        "*", F.xxhash64("grams").alias("k1"), F.xxhash64(F.lit(1), "grams").alias("k2")
+    # written, since both classes and members are made of them: a text's shingles are taken once
+    held = cut(
+        worded.select("key", shingles(F.col("words"), size).alias("grams")).select(
+            "*", F.xxhash64("grams").alias("k1"), F.xxhash64(F.lit(1), "grams").alias("k2")
+        )
     )
     classes = held.groupBy("k1", "k2").agg(F.any_value("grams").alias("grams")).where("size(grams) > 0")
-    classes = cut(with_signature(classes.withColumn("node", F.monotonically_increasing_id()), "grams", SIGNATURE))
+    classes = cut(with_bands(classes.withColumn("node", F.monotonically_increasing_id()), "grams", BANDS, ROWS))
     one = held.groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("k"))
     members = one.select("key", "k.k1", "k.k2").join(classes.select("k1", "k2", "node"), ["k1", "k2"])
-    return classes.select("node", "grams", "signature"), members.select("node", "key")
+    return classes.select("node", "grams", "signature", "buckets"), members.select("node", "key")
 
 
 def linked(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
@@ -58,9 +62,9 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
-def class_components(classes: DataFrame, share: float = 0.6, bands: int = 64, rows: int = 4) -> DataFrame:
+def class_components(classes: DataFrame, share: float = 0.6) -> DataFrame:
     """``node, component`` of every class that is linked to another one."""
-    shared = shared_buckets(bucket_rows(classes, "node", [Bands((("grams", rows),), bands)]), "node")
+    shared = shared_buckets(classes.select(F.explode("buckets").alias("bucket"), "node"), "node")
     star = shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     first = cut(linked(star, classes, share))
     placed = shared.join(_labels(first), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("part"))

@@ -11,8 +11,8 @@ from wordloom.llm.layout_copies import layout_copies
 from wordloom.llm.mixing import calibration, mix, mix_shares
 from wordloom.llm.near_duplicates import near_duplicate_groups
 from wordloom.llm.sequences import frequent_sequences
-from wordloom.llm.set_pairs import similar_pairs
-from wordloom.llm.sql import P1_FOUND, P2_FOUND, P3_FOUND, P5_FOUND, P6_DECODED
+from wordloom.llm.set_pairs import similar_members, similar_pairs
+from wordloom.llm.sql import P1_FOUND, P1_MEMBERS, P2_FOUND, P3_FOUND, P5_FOUND, P6_DECODED
 from wordloom.llm.stuffing import stuffed_pages
 from wordloom.llm.tokens import decode_corpus, encode_corpus
 from wordloom.plans.registry import Registry
@@ -27,6 +27,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(workflows, "workflow_id", "prompt_shingles", "tool_shingles", share=(3, 5))
 
 
+@registry.query("p1_members", P1_MEMBERS)
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by workflow: its class of equal sets and its number of similar workflows."""
+    workflows = read_table(spark, sf_dir, "workflows")
+    return similar_members(workflows, "workflow_id", "prompt_shingles", "tool_shingles", share=(3, 5))
+
+
 @registry.query("p2_found", P2_FOUND)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read_table(spark, sf_dir, "wiki_entries"), "id", "title", "content", size=3, share=0.6)

@@ -97,17 +97,49 @@ def similar_pairs(records: DataFrame, key: str, first: str, second: str, share:
     """``key_a, key_b`` with key_a < key_b: every pair of different keys whose sets are similar enough.
 
     The comparison works on classes of equal sets; only the result lists the pairs between and within classes, which
-    it must name one by one. Ties on the threshold are pairs. An empty table gives no pairs.
+    it must name one by one: blocks of a class meet blocks of another, so no task lists the pairs of a whole class.
+    Ties on the threshold are pairs. An empty table gives no pairs. similar_members() tells the same without naming pairs.
     """
     classes, members = set_classes(records, key, first, second)
-    members = cut(members)
+    placed = blocks(cut(members))
     between = cut(similar_classes(classes, share))
-    left = members.select(F.col("node").alias("a"), F.col("key").alias("x"))
-    right = members.select(F.col("node").alias("b"), F.col("key").alias("y"))
-    across = between.join(left, "a").join(right, "b").select("x", "y")
-    shared = members.groupBy("node").count().where("count > 1").select("node")
-    copies = members.join(shared, "node", "left_semi")
-    within = (
-        copies.withColumnRenamed("key", "x").join(copies.withColumnRenamed("key", "y"), "node").where("x < y").select("x", "y")
-    )
+    parts = placed.groupBy("node").agg(F.max("parts").alias("parts"))
+    many = lambda end, n: parts.select(F.col("node").alias(end), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(n))
+    side = lambda end, n, k: placed.select(F.col("node").alias(end), F.col("block").alias(n), F.col("key").alias(k))
+    met = between.join(many("a", "p"), "a").join(many("b", "q"), "b")
+    across = met.join(side("a", "p", "x"), ["a", "p"]).join(side("b", "q", "y"), ["b", "q"]).select("x", "y")
+    within = twins(placed)
     return across.union(within).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+
+
+#: Members of a block.
+MEMBERS = 2_000
+
+
+def blocks(members: DataFrame, size: int = MEMBERS) -> DataFrame:
+    """``members(node, key)`` with ``alike``, the number of members of the node, and its block of ``parts`` of about ``size``."""
+    sizes = members.groupBy("node").agg(F.count("*").alias("alike"))
+    counted = members.join(sizes, "node").withColumn("parts", F.ceil(F.col("alike") / size).cast("int"))
+    return counted.withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+
+
+def twins(placed: DataFrame) -> DataFrame:
+    """``x, y``: the pairs within a node of ``placed``, which comes from blocks(): each block meets itself and all later ones."""
+    copies = placed.where("alike > 1")
+    x = copies.select("node", F.col("block").alias("p"), F.explode(F.sequence("block", F.col("parts") - 1)).alias("q"), F.col("key").alias("x"))
+    y = copies.select("node", F.explode(F.sequence(F.lit(0), "block")).alias("p"), F.col("block").alias("q"), F.col("key").alias("y"))
+    return x.join(y, ["node", "p", "q"]).where("p < q OR x < y").select("x", "y")
+
+
+def similar_members(records: DataFrame, key: str, first: str, second: str, share: tuple[int, int] = (3, 5)) -> DataFrame:
+    """``key, class_id, links``: each key, the smallest key with equal sets, and how many other keys are similar to it.
+
+    The same comparison as similar_pairs(), in as many rows as there are keys with two filled sets.
+    """
+    classes, members = set_classes(records, key, first, second)
+    members, between = cut(members), cut(similar_classes(classes, share))
+    alike = members.groupBy("node").agg(F.min("key").alias("class_id"), F.count("*").alias("n"))
+    ways = between.select("a", "b").union(between.select("b", "a"))
+    linked = ways.join(alike.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("other"))
+    told = alike.join(linked, "node", "left").select("node", "class_id", (F.coalesce("other", F.lit(0)) + F.col("n") - 1).alias("links"))
+    return members.join(told, "node").select(F.col("key").alias(key), "class_id", "links")

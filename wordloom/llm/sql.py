@@ -17,6 +17,11 @@ SELECT ida AS workflow_id_a, idb AS workflow_id_b FROM c
 WHERE 5 * (ip * (nt - it) + it * (np - ip)) >= 6 * (np - ip) * (nt - it)
 """
 
+P1_MEMBERS = P1_FOUND.replace("SELECT ida AS workflow_id_a, idb AS workflow_id_b FROM c", ", pairs AS (SELECT ida, idb FROM c").rstrip() + """),
+l AS (SELECT id, count(*) AS links FROM (SELECT ida AS id FROM pairs UNION ALL SELECT idb FROM pairs) GROUP BY id)
+SELECT s.id AS workflow_id, min(s.id) OVER (PARTITION BY list_sort(p), list_sort(t)) AS class_id, coalesce(links, 0) AS links FROM s LEFT JOIN l ON l.id = s.id
+"""
+
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 P2_FOUND = rf"""
