@@ -39,19 +39,41 @@ def test_components_empty_and_null(spark):
     assert components(spark, [(3, 3)]) == {3: 3}
 
 
-def test_leaders(spark):
-    rng = random.Random(4)
-    nodes = [(k, rng.randint(0, 5)) for k in range(60)]
-    pairs = {(a, b): rng.random() for a, b in {tuple(sorted(rng.sample(range(60), 2))) for _ in range(110)}}
-    order = sorted(nodes, key=lambda n: (n[1], n[0]))
+def leaders(spark, nodes, pairs, **how):
+    df = spark.createDataFrame(nodes, "node bigint, place int")
+    links = spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "a bigint, b bigint, similarity double")
+    return {r.node: r.anchor for r in leader_clusters(df, links, **how).collect()}
+
+
+def in_order(nodes, pairs):
     anchors, want = [], {}
-    for k, _ in order:
+    for k, _ in sorted(nodes, key=lambda n: (n[1] is not None, n[1] or 0, n[0])):
         near = next((a for a in anchors if (min(a, k), max(a, k)) in pairs), None)
         want[k] = k if near is None else near
         if near is None:
             anchors.append(k)
-    df = spark.createDataFrame(nodes, "node bigint, place int")
-    links = spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "a bigint, b bigint, similarity double")
-    assert {r.node: r.anchor for r in leader_clusters(df, links).collect()} == want
-    none = links.limit(0)
-    assert {r.node: r.anchor for r in leader_clusters(df, none).collect()} == {k: k for k, _ in nodes}
+    return want
+
+
+def test_leaders(spark):
+    rng = random.Random(4)
+    nodes = [(k, rng.choice([None, 1, 2, 3])) for k in range(60)]
+    pairs = {(a, b): rng.random() for a, b in {tuple(sorted(rng.sample(range(60), 2))) for _ in range(50)}}
+    want = in_order(nodes, pairs)
+    assert leaders(spark, nodes, pairs) == want
+    assert leaders(spark, nodes, pairs, bound=0) == want  # rounds alone
+    assert leaders(spark, nodes, pairs, bound=4) == want  # some components in tasks, others in rounds
+    assert leaders(spark, nodes, {}) == {k: k for k, _ in nodes}
+
+
+def test_long_chain(spark, monkeypatch):
+    """A chain of 1,000 records, each like the one before: few tables are written."""
+    from wordloom.operators import clusters, components
+
+    written = []
+    for module in (clusters, components):
+        monkeypatch.setattr(module, "cut", lambda df, made=module.cut: (written.append(1), made(df))[1])
+    nodes = [(k, k) for k in range(1000)]
+    pairs = {(k, k + 1): 0.9 for k in range(999)}
+    assert leaders(spark, nodes, pairs) == in_order(nodes, pairs)
+    assert len(written) < 20

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import fingerprint_tokens, has_repository_path, joined_shingles, names_tool
@@ -39,28 +39,76 @@ def lesson_clusters(lessons: DataFrame, key: str, text: str, project: str, when:
     return placed.select(F.col("key").alias(key), F.col("head").alias("anchor"), "similarity")
 
 
-def cluster_facts(clusters: DataFrame, lessons: DataFrame, key: str, text: str, project: str, tags: str | None = None) -> DataFrame:
-    """``anchor, lessons, projects, reasons``: what each cluster of lesson_clusters() has in common; none is left out.
+def unmarked(lessons: DataFrame, text: str, marks: tuple[str, ...]) -> DataFrame:
+    """The lessons whose text holds none of the marks of what was handled at once."""
+    for mark in marks:
+        lessons = lessons.where(~F.coalesce(F.col(text).contains(mark), F.lit(False)))
+    return lessons
+
+
+def without_scope(tags: Column) -> Column:
+    """Tags without those that name a scope, in any case; null is like none."""
+    listed = F.coalesce(tags, F.array().cast("array<string>"))
+    return F.filter(listed, lambda t: ~F.lower(t).isin(*GLOBAL_TAGS, *USER_TAGS))
+
+
+def _tagged(tags: str | None, names: tuple[str, ...]) -> Column:
+    if tags is None:
+        return F.lit(False)
+    return F.exists(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(t).isin(*names))
+
+
+def cluster_facts(
+    clusters: DataFrame, lessons: DataFrame, key: str, text: str, project: str, tags: str | None = None, reasoned: bool = False
+) -> DataFrame:
+    """``anchor, lessons, projects, reasons, scope, tags``: what each cluster of lesson_clusters() has in common.
 
     Reasons: it recurs in two projects or more, a member is tagged global, or its anchor names a tool and no member a
-    path of a repository.
+    path of a repository. With ``reasoned`` clusters without a reason are left out. The scope is ``user`` if a member is
+    tagged so and none global, else ``global``; ``tags`` are all members' in order, without those of scopes.
     """
     about = lessons.select(
         F.col(key).alias("key"), F.col(project).alias("project"), names_tool(text).alias("tool"), has_repository_path(text).alias("local"),
-        (F.exists(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(t).isin(*GLOBAL_TAGS)) if tags else F.lit(False)).alias("global"),
+        _tagged(tags, GLOBAL_TAGS).alias("global"), _tagged(tags, USER_TAGS).alias("user"),
+        (without_scope(F.col(tags)) if tags else F.array().cast("array<string>")).alias("tags"),
     ).dropDuplicates(["key"])
     rows = clusters.select(F.col(key).alias("key"), "anchor").join(about, "key")
     facts = rows.groupBy("anchor").agg(
-        F.count("*").alias("lessons"), F.count_distinct("project").alias("projects"), F.bool_or("global").alias("global"),
+        F.count("*").alias("lessons"), F.count_distinct("project").alias("projects"), F.bool_or("global").alias("global"), F.bool_or("user").alias("user"),
         F.bool_or(F.col("tool") & (F.col("key") == F.col("anchor"))).alias("tool"), F.bool_or("local").alias("local"),
     )
+    each = rows.select("anchor", F.explode("tags").alias("tag")).where("tag is not null").distinct()
+    held = each.groupBy("anchor").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
     reasons = F.array_compact(
         F.array(
             F.when(F.col("projects") >= 2, "recurrence"), F.when(F.col("global"), "tagged-global"),
             F.when(F.col("tool") & ~F.col("local"), "portable-tooling"),
         )
     )
-    return facts.select("anchor", "lessons", "projects", reasons.alias("reasons"))
+    scope = F.when(F.col("user") & ~F.col("global"), "user").otherwise("global")
+    told = facts.join(held, "anchor", "left").select(
+        "anchor", "lessons", "projects", reasons.alias("reasons"), scope.alias("scope"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags")
+    )
+    return told.where(F.size("reasons") > 0) if reasoned else told
+
+
+def cluster_evidence(clusters: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """``anchor, evidence``: the members of each cluster as (key, similarity to three places), in order of key.
+
+    With ``most`` so many of the smallest keys; they are cut before any list is gathered. Compare two clusters' evidence
+    with same_evidence().
+    """
+    rows = clusters.select("anchor", F.col(key).alias("key"), F.round("similarity", 3).alias("similarity")).distinct()
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("anchor").orderBy("key"))
+        rows = rows.withColumn("place", place).where(F.col("place") <= most)
+    return rows.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("key", "similarity"))).alias("evidence"))
+
+
+def same_evidence(a: Column, b: Column) -> Column:
+    """Whether two lists of evidence name the same keys, in whatever order and however often; null is like empty."""
+    keys = lambda e: F.array_sort(F.array_distinct(F.transform(F.coalesce(e, F.array()), lambda x: x["key"].cast("string"))))
+    return keys(a) == keys(b)
 
 
 def similar_workflows(workflows: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -108,6 +156,16 @@ def recurring_workflows(workflows: DataFrame, sessions: int = 3, projects: int =
     return recurs.join(covered, "anchor", "left_anti")
 
 
+def proposals(workflows: DataFrame) -> DataFrame:
+    """``kind, name, sessions``: what both detectors propose: recurring workflows by their anchor, corrected skills by name.
+
+    A skill's sessions are those of all teams and roles.
+    """
+    recurring = recurring_workflows(workflows).select(F.lit("workflow").alias("kind"), F.col("anchor").alias("name"), "sessions")
+    skills = corrected_skills(workflows).groupBy("skill").agg(F.sum("sessions").alias("sessions"))
+    return recurring.union(skills.select(F.lit("skill"), "skill", "sessions"))
+
+
 def corrected_skills(workflows: DataFrame, least: int = 2) -> DataFrame:
     """``skill, team_id, role_id, sessions, corrections``: skills corrected at least so often within a workflow.
 

@@ -33,3 +33,18 @@ def fingerprint_tokens(text: str) -> str:
 
 def trim(text: str) -> str:
     return rf"regexp_replace({text}, '^[\x1c-\x1f]*{WS}+|{WS}+$', '', 'g')"
+
+
+def led(nodes: str, near: str) -> str:
+    """CTEs ``o, e, led(rn, anchor)`` of records that come one by one, each joining the first cluster whose anchor is near.
+
+    ``nodes`` is SQL for ``node, since`` and ``near`` for ``a, b``, pairs of nodes. The recursion holds the anchors so far.
+    """
+    return f"""nodes AS ({nodes}), pairs AS ({near}),
+o AS (SELECT node, row_number() OVER (ORDER BY since NULLS FIRST, node) AS rn FROM nodes),
+e AS (SELECT y.rn, list(x.rn) AS near FROM (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs) p JOIN o x ON x.node = p.a JOIN o y ON y.node = p.b WHERE x.rn < y.rn GROUP BY y.rn),
+steps AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS anchors, 0::BIGINT AS anchor UNION ALL
+  SELECT rn, CASE WHEN hit IS NULL THEN list_append(anchors, rn) ELSE anchors END, coalesce(hit, rn) FROM (
+    SELECT o.rn, steps.anchors, list_filter(steps.anchors, lambda q: list_contains(coalesce(e.near, []), q))[1] AS hit
+    FROM steps JOIN o ON o.rn = steps.rn + 1 LEFT JOIN e ON e.rn = o.rn)),
+led AS (SELECT o.node, h.node AS anchor FROM steps JOIN o ON o.rn = steps.rn JOIN o h ON h.rn = steps.anchor)"""

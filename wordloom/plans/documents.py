@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators import keywords, search, set_join, workflows
+from wordloom.operators.observations import IMMEDIATE_MARKS
 from wordloom.plans import dialect as D
 from wordloom.plans.registry import Registry
 from wordloom.session import cut, read_table
@@ -93,9 +94,10 @@ def copy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select(F.col("key").alias("doc_id"), F.col("node").alias("class_id"))
 
 
-_GRAMS = f"""WITH t AS (SELECT doc_id, {D.fingerprint_tokens("text")} AS t FROM documents WHERE source = 'lesson' AND text IS NOT NULL),
+_GRAM_RUNS = f"""WITH t AS (SELECT doc_id, {D.fingerprint_tokens("text")} AS t FROM documents WHERE @ROWS AND text IS NOT NULL),
 w AS (SELECT doc_id, CASE WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
       ELSE [t[i] || ' ' || t[i+1] || ' ' || t[i+2] for i in range(1, len(t) - 1)] END AS w FROM t)"""
+_GRAMS = _GRAM_RUNS.replace("@ROWS", "source = 'lesson'")
 
 
 def _lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,14 +111,32 @@ def similar_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
-@registry.query("lesson_clusters")
-def lesson_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What recurs across projects: clusters of lessons with their counts and reasons."""
-    rows = _lessons(spark, sf_dir)
-    led = cut(workflows.lesson_clusters(rows, "doc_id", "text", "project_id", "captured_at"))
-    return workflows.cluster_facts(led, rows, "doc_id", "text", "project_id")
+_FIRSTS = """b AS (SELECT w.doc_id, list_sort(list_distinct(w)) AS s, d.captured_at FROM w JOIN documents d USING (doc_id)),
+c AS (SELECT s, first(doc_id ORDER BY captured_at NULLS FIRST, doc_id) AS node, first(captured_at ORDER BY captured_at NULLS FIRST, doc_id) AS since FROM b WHERE len(s) > 0 GROUP BY s)"""
+_NEAR = """SELECT a, b FROM (SELECT x.node AS a, y.node AS b, len(list_intersect(x.s, y.s)) AS i, len(x.s) + len(y.s) AS n FROM c x JOIN c y ON x.node < y.node) WHERE i / (n - i) >= 0.6"""
 
 
+def _clusters(grams: str, reasoned: bool) -> str:
+    """Clusters of the lessons of ``grams`` (CTEs that begin with WITH) and their facts."""
+    tags = "list_distinct(list_filter(string_split(g.tags, ' '), lambda x: x <> ''))"
+    names = lambda of: "len(list_filter(t, lambda x: x IN (" + D.quoted(of) + "))) > 0"
+    return f"""{grams.replace("WITH ", "WITH RECURSIVE ", 1)}, {_FIRSTS}, {D.led("SELECT node, since FROM c", _NEAR)},
+tt AS ({_TAGS}), pt AS ({_PORTABLE}),
+m AS (SELECT b.doc_id, led.anchor, d.project_id, pt.names_tool, pt.has_path, {tags} AS t FROM b JOIN c USING (s) JOIN led ON led.node = c.node
+  JOIN documents d ON d.doc_id = b.doc_id JOIN tt g ON g.doc_id = b.doc_id JOIN pt ON pt.doc_id = b.doc_id),
+f AS (SELECT anchor, count(*) AS lessons, count(DISTINCT project_id) AS projects, bool_or({names(workflows.GLOBAL_TAGS)}) AS g, bool_or({names(workflows.USER_TAGS)}) AS u,
+  bool_or(names_tool AND doc_id = anchor) AS tool, bool_or(has_path) AS local, list_sort(list_distinct(flatten(list(t)))) AS t FROM m GROUP BY anchor)
+SELECT anchor, lessons, projects, reasons, CASE WHEN u AND NOT g THEN 'user' ELSE 'global' END AS scope,
+  array_to_string(list_filter(t, lambda x: x NOT IN ({D.quoted((*workflows.GLOBAL_TAGS, *workflows.USER_TAGS))})), ' ') AS tags
+FROM (SELECT *, array_to_string(list_filter([CASE WHEN projects >= 2 THEN 'recurrence' END, CASE WHEN g THEN 'tagged-global' END,
+  CASE WHEN tool AND NOT local THEN 'portable-tooling' END], lambda x: x IS NOT NULL), ',') AS reasons FROM f) {"WHERE reasons <> ''" if reasoned else ""}"""
+
+
+def _facts(rows: DataFrame, reasoned: bool) -> DataFrame:
+    rows = rows.withColumn("tags", T.hashtags("text"))
+    led = cut(workflows.lesson_clusters(rows, "doc_id", "text", "project_id", "captured_at"))
+    facts = workflows.cluster_facts(led, rows, "doc_id", "text", "project_id", "tags", reasoned)
+    return facts.withColumns({"reasons": F.array_join("reasons", ","), "tags": F.array_join("tags", " ")})
 
 
 def _keyword_tokens(text: str) -> str:
@@ -176,12 +196,16 @@ def lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(T.lessons("text")).alias("place", "lesson"))
 
 
-@registry.query(
-    "tags_and_titles",
-    rf"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{D.WS}+'), lambda x: starts_with(x, '#')) AS w,
+_TAGGED = rf"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{D.WS}+'), lambda x: starts_with(x, '#')) AS w,
   {D.trim("regexp_split_to_array(text, '\\r\\n|\\r|\\n')[1]")} AS line FROM documents WHERE text IS NOT NULL),
 t AS (SELECT *, list_sort(list_distinct([lower(y) for y in list_filter([regexp_replace(substring(x, 2), '[^{D.ALNUM}:]+$', '') for x in w],
-  lambda z: regexp_full_match(z, '[A-Za-z0-9:-]+'))])) AS tags FROM w)
+  lambda z: regexp_full_match(z, '[A-Za-z0-9:-]+'))])) AS tags FROM w)"""
+_TAGS = f"{_TAGGED} SELECT doc_id, array_to_string(tags, ' ') AS tags FROM t"
+
+
+@registry.query(
+    "tags_and_titles",
+    f"""{_TAGGED}
 SELECT doc_id, array_to_string(tags, ' ') AS tags,
   CASE WHEN line = '' THEN 'Promoted lesson' WHEN length(line) > 80 THEN substring(line, 1, 80) || '…' ELSE line END AS title FROM t""",
 )
@@ -220,3 +244,16 @@ def portable_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document names a tool or version, and a path of a repository."""
     rows = _documents(spark, sf_dir)
     return rows.select("doc_id", T.names_tool("text").alias("names_tool"), T.has_repository_path("text").alias("has_path"))
+
+
+@registry.query("lesson_clusters", _clusters(_GRAMS, False))
+def lesson_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What recurs across projects: clusters of lessons with their counts and reasons."""
+    return _facts(_lessons(spark, sf_dir), False)
+
+
+@registry.query("promoted_lessons", _clusters(_GRAM_RUNS.replace("@ROWS", "source IN ('lesson', 'skill', 'glossary') AND NOT contains(coalesce(text, ''), '[GLOBAL]') AND NOT contains(coalesce(text, ''), '[USER]')"), True))
+def promoted_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of short texts that have a reason to be promoted; those marked as handled are left out."""
+    rows = _documents(spark, sf_dir).where("source in ('lesson', 'skill', 'glossary')")
+    return _facts(workflows.unmarked(rows, "text", IMMEDIATE_MARKS), True)

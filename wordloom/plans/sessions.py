@@ -14,33 +14,51 @@ from wordloom.session import read_table
 registry = Registry()
 
 
-@registry.query(
-    "similar_workflows",
-    """WITH w AS (SELECT workflow_id AS id, list_distinct(list_filter(any_value(prompt_shingles), lambda x: x IS NOT NULL)) AS p,
+_SIMILAR = """w AS (SELECT workflow_id AS id, list_distinct(list_filter(any_value(prompt_shingles), lambda x: x IS NOT NULL)) AS p,
   list_distinct(list_filter(any_value(tool_shingles), lambda x: x IS NOT NULL)) AS t FROM workflows WHERE workflow_id IS NOT NULL GROUP BY 1),
 s AS (SELECT * FROM w WHERE len(p) > 0 AND len(t) > 0),
 c AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.p, b.p)) AS ip, len(a.p) + len(b.p) AS np, len(list_intersect(a.t, b.t)) AS it, len(a.t) + len(b.t) AS nt
   FROM s a JOIN s b ON a.id < b.id),
-r AS (SELECT a, b, (ip / (np - ip) + it / (nt - it)) / 2 AS s FROM c)
-SELECT a, b, round(s, 9) AS similarity FROM r WHERE s >= 0.5""",
-)
+r AS (SELECT a, b, (ip / (np - ip) + it / (nt - it)) / 2 AS s FROM c)"""
+
+
+@registry.query("similar_workflows", f"WITH {_SIMILAR} SELECT a, b, round(s, 9) AS similarity FROM r WHERE s >= 0.5")
 def similar_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, _ = workflows.similar_workflows(read_table(spark, sf_dir, "workflows"))
     return pairs.select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
-@registry.query("recurring_workflows")
+_ONE = "SELECT DISTINCT ON (workflow_id) workflow_id, project_id, recorded_at, skill_uses FROM workflows WHERE workflow_id IN (SELECT id FROM s) ORDER BY workflow_id"
+_RECURS = f"""{_SIMILAR}, one AS ({_ONE}), {D.led("SELECT workflow_id AS node, recorded_at AS since FROM one", "SELECT a, b FROM r WHERE s >= 0.5")},
+g AS (SELECT led.anchor, one.project_id, list_distinct(list_filter([u.skill for u in one.skill_uses], lambda x: x IS NOT NULL)) AS skills FROM led JOIN one ON one.workflow_id = led.node),
+f AS (SELECT anchor, count(*) AS sessions, count(DISTINCT project_id) AS projects FROM g GROUP BY anchor),
+u AS (SELECT anchor, skill, count(*) AS n FROM (SELECT anchor, unnest(skills) AS skill FROM g) GROUP BY ALL),
+recurring AS (SELECT anchor, sessions, projects FROM f WHERE (sessions >= 3 OR projects >= 2)
+  AND NOT EXISTS (SELECT 1 FROM u WHERE u.anchor = f.anchor AND 2 * u.n >= f.sessions))"""
+
+
+@registry.query("recurring_workflows", f"WITH RECURSIVE {_RECURS} SELECT * FROM recurring")
 def recurring_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflows.recurring_workflows(read_table(spark, sf_dir, "workflows"))
 
 
+_CORRECTED = """ow AS (SELECT DISTINCT workflow_id, team_id, role_id, skill_uses FROM workflows WHERE workflow_id IS NOT NULL),
+uw AS (SELECT workflow_id, team_id, role_id, unnest(skill_uses) AS u FROM ow),
+pw AS (SELECT workflow_id, team_id, role_id, u.skill AS skill, sum(coalesce(len(u.corrections), 0)) AS n FROM uw WHERE u.skill IS NOT NULL GROUP BY ALL),
+corrected AS (SELECT skill, team_id, role_id, count(*) AS sessions, sum(n)::BIGINT AS corrections FROM pw WHERE n >= 2 GROUP BY skill, team_id, role_id)"""
+
+
 @registry.query(
-    "corrected_skills",
-    """WITH o AS (SELECT DISTINCT workflow_id, team_id, role_id, skill_uses FROM workflows WHERE workflow_id IS NOT NULL),
-u AS (SELECT workflow_id, team_id, role_id, unnest(skill_uses) AS u FROM o),
-p AS (SELECT workflow_id, team_id, role_id, u.skill AS skill, sum(coalesce(len(u.corrections), 0)) AS n FROM u WHERE u.skill IS NOT NULL GROUP BY ALL)
-SELECT skill, team_id, role_id, count(*) AS sessions, sum(n)::BIGINT AS corrections FROM p WHERE n >= 2 GROUP BY skill, team_id, role_id""",
+    "proposals",
+    f"""WITH RECURSIVE {_RECURS}, {_CORRECTED} SELECT 'workflow' AS kind, anchor AS name, sessions FROM recurring
+UNION ALL SELECT 'skill', skill, sum(sessions)::BIGINT FROM corrected GROUP BY skill""",
 )
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the two detectors propose together."""
+    return workflows.proposals(read_table(spark, sf_dir, "workflows"))
+
+
+@registry.query("corrected_skills", f"WITH {_CORRECTED} SELECT * FROM corrected")
 def corrected_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflows.corrected_skills(read_table(spark, sf_dir, "workflows"))
 
