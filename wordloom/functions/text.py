@@ -247,6 +247,11 @@ def body_links(content: Column | str) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
+def bounded(text: Column | str, limit: int = 500) -> Column:
+    """The first ``limit`` characters, as errors and details are kept."""
+    return F.substring(_col(text), 1, limit)
+
+
 def _lists(items: Column) -> Column:
     return F.coalesce(items, F.array().cast("array<string>"))
 

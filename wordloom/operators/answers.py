@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.text import body_links, bounded, slug, strip_space
+
 REPORT = "array<struct<id: string, severity: string, issue: string, suggestion: string>>"
 #: Severities in rising order; anything else is the first.
 SEVERITIES = ("info", "warning", "error")
@@ -52,3 +54,27 @@ def ask_in_batches(pages: DataFrame, model: Callable[[list[dict]], str], size: i
                 yield pd.DataFrame({"answer": [answer]})
 
     return reports(pages.select("id", "title", "content").mapInPandas(run, "answer string"), "answer")
+
+
+ENTRY = "title string, content string, tags array<string>, links array<string>, sources array<struct<id: string, resource: string>>, description string, type string"
+
+
+def compiled(answers: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, id, title, content, tags, links, sources, description, entry_type, error`` of answers that compile a document.
+
+    An answer is JSON, fenced or not. Links of the body come first, then those it names; of sources with one id the first
+    stays; the type is Reference where none is told. An answer without title or content is an error, and so is no JSON.
+    """
+    made = answers.select(F.col(key).alias("key"), parsed(text, ENTRY).alias("e"), F.col(text).alias("raw"))
+    e, none = (lambda c: F.col(f"e.{c}")), F.array().cast("array<string>")
+    sources = F.coalesce(e("sources"), F.array().cast("array<struct<id: string, resource: string>>"))
+    named = F.transform(sources, lambda x: x["id"])
+    first = F.filter(sources, lambda x, i: x["id"].isNull() | (F.array_position(named, x["id"]) == i + 1))
+    wrong = F.when(F.col("e").isNull(), "no JSON").when(F.coalesce(strip_space(e("title")), F.lit("")) == "", "no title").when(e("content").isNull(), "no content")
+    return made.select(
+        F.col("key").alias(key), slug(e("title")).alias("id"), e("title").alias("title"), e("content").alias("content"),
+        F.coalesce(e("tags"), none).alias("tags"), F.array_distinct(F.concat(body_links(e("content")), F.coalesce(e("links"), none))).alias("links"),
+        first.alias("sources"), e("description").alias("description"),
+        F.coalesce(F.nullif(strip_space(e("type")), F.lit("")), F.lit("Reference")).alias("entry_type"),
+        F.when(wrong.isNotNull(), F.concat(wrong, F.lit(": "), bounded(F.coalesce("raw", F.lit("")), 200))).alias("error"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import snippet
+from wordloom.functions.text import cut_bytes, snippet
 
 #: Weights of a term in title, description and content.
 WEIGHTS = {"title": 4.0, "description": 2.0, "content": 1.0}
@@ -67,3 +67,11 @@ def rendered(results: DataFrame, failed: int = 0) -> DataFrame:
     status = F.when(F.lit(failed) > 0, F.format_string("[context-status] failed_scopes=%d candidates=%d\n", F.lit(failed), F.size(all_items))).otherwise("")
     block = F.concat(F.lit("--- context ---\n"), F.array_join(F.transform(all_items, lambda r: r["item"]), ""), status, F.lit("--- end of context ---\n"))
     return ranked.agg(F.when(F.count("*") > 0, block).otherwise("").alias("text"))
+
+
+def entry_blocks(entries: DataFrame, body: int = 1200) -> DataFrame:
+    """``id, block``: each entry as a model reads it: id, title, tags and the body's first ``body`` bytes."""
+    text = cut_bytes(F.coalesce("content", F.lit("")), body)
+    tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ", ")
+    block = F.concat(F.lit("## "), F.coalesce("title", F.lit("")), F.lit(" ["), "id", F.lit("]\ntags: "), tags, F.lit("\n\n"), text, F.lit("\n"))
+    return entries.where(F.col("id").isNotNull()).select("id", block.alias("block"))

@@ -38,3 +38,15 @@ def expire(events: DataFrame, when: str, now: Column, days: int = 90) -> DataFra
 def not_in(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """The first row of each key that ``known`` doesn't have; null keys are left out."""
     return rows.where(F.col(key).isNotNull()).dropDuplicates([key]).join(known.select(key), key, "left_anti")
+
+
+def event_rows(events: DataFrame, key: str, kind: str, when: str, kinds: dict[str, str], affects: Column, **context: str) -> DataFrame:
+    """``id, kind, timestamp, affects`` and a column for each piece of context, as the event log keeps them.
+
+    ``kinds`` names what is stored under another kind; ``affects`` are the ids that an event is about, nulls left out.
+    """
+    named = F.coalesce(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col(kind)], F.col(kind)) if kinds else F.col(kind)
+    return events.select(
+        F.col(key).cast("string").alias("id"), named.alias("kind"), F.col(when).alias("timestamp"), F.array_compact(affects).alias("affects"),
+        *[F.lit(v).alias(n) for n, v in context.items()],
+    )

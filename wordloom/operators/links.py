@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import body_links, lines, strip_space
@@ -90,3 +90,15 @@ def index_block_reports(pages: DataFrame, text: str, allowed: str = "version") -
     """The rows whose text opens with a ``---`` block that holds a key other than those that begin with ``allowed``."""
     block = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)^\s*---(.*?)\n---", 1)
     return pages.where(F.exists(lines(block), lambda x: x.rlike(r"\S") & ~strip_space(x).startswith(allowed)))
+
+
+def catalog_document(lines: DataFrame) -> DataFrame:
+    """``section, place, line``: the catalog as its lines stand: a heading per section (place 0), then its lines by title.
+
+    ``lines(section, sort_key, line)`` are those of catalog_lines(), carried_lines() or both. In order of section and place
+    they are the document, which so may be written by many tasks.
+    """
+    every = lines.select("section", "sort_key", "line").distinct()
+    place = F.row_number().over(Window.partitionBy("section").orderBy("sort_key", "line"))
+    heads = every.select("section").distinct().select("section", F.lit(0).alias("place"), F.concat(F.lit("## "), "section").alias("line"))
+    return heads.union(every.select("section", place.alias("place"), "line"))

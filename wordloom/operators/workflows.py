@@ -139,15 +139,21 @@ def similar_workflows(workflows: DataFrame, threshold: float = 0.5) -> tuple[Dat
     return blend.where(F.col("similarity") >= threshold), one
 
 
+def workflow_clusters(workflows: DataFrame) -> DataFrame:
+    """``workflow_id, anchor, similarity``: each workflow with the earliest recorded one it is like."""
+    pairs, one = similar_workflows(workflows)
+    about = workflows.join(one.select(F.col("key").alias("workflow_id")), "workflow_id", "left_semi").dropDuplicates(["workflow_id"])
+    nodes = cut(about.select(F.col("workflow_id").alias("node"), F.col("recorded_at").alias("place")))
+    return leader_clusters(nodes, cut(pairs)).withColumnRenamed("node", "workflow_id")
+
+
 def recurring_workflows(workflows: DataFrame, sessions: int = 3, projects: int = 2) -> DataFrame:
     """``anchor, sessions, projects``: clusters of workflows that recur and that no skill covers.
 
     A cluster recurs with so many workflows or projects; a skill used in at least half of them covers it.
     """
-    pairs, one = similar_workflows(workflows)
-    about = workflows.join(one.select(F.col("key").alias("workflow_id")), "workflow_id", "left_semi").dropDuplicates(["workflow_id"])
-    nodes = cut(about.select(F.col("workflow_id").alias("node"), F.col("recorded_at").alias("place")))
-    led = cut(leader_clusters(nodes, cut(pairs)))
+    led = cut(workflow_clusters(workflows).withColumnRenamed("workflow_id", "node"))
+    about = workflows.where("workflow_id IS NOT NULL").dropDuplicates(["workflow_id"])
     rows = led.join(about.select(F.col("workflow_id").alias("node"), "project_id", F.array_distinct(F.array_compact("skill_uses.skill")).alias("skills")), "node")
     facts = rows.groupBy("anchor").agg(F.count("*").alias("sessions"), F.count_distinct("project_id").alias("projects"))
     recurs = facts.where((F.col("sessions") >= sessions) | (F.col("projects") >= projects))

@@ -85,3 +85,34 @@ FROM memory_operations WHERE operation_id IS NOT NULL""",
 def stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages that a stream over the deliveries lets through, each once."""
     return deliveries.first_deliveries(spark, f"{sf_dir}/memory_operations.parquet").select("operation", "hash")
+
+
+@registry.query(
+    "event_rows",
+    """SELECT event_id::VARCHAR AS id, CASE event_type WHEN 'purchase' THEN 'order_placed' WHEN 'signup' THEN 'user_joined' ELSE event_type END AS kind, epoch_us(ts) AS at,
+  array_to_string(list_filter(['user:' || user_id, 'item:' || (props::JSON ->> 'k')], lambda x: x IS NOT NULL), '|') AS affects, 'shop' AS scope FROM events""",
+)
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the log keeps them: renamed kinds, the ids they are about, and where they come from."""
+    item = F.concat(F.lit("item:"), F.try_variant_get(F.try_parse_json("props"), "$.k", "string"))
+    about = F.array(F.concat(F.lit("user:"), F.col("user_id").cast("string")), item)
+    rows = E.event_rows(_events(spark, sf_dir), "event_id", "event_type", "ts", {"purchase": "order_placed", "signup": "user_joined"}, about, scope="shop")
+    return rows.select("id", "kind", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"), F.array_join("affects", "|").alias("affects"), "scope")
+
+
+_RECEIPTS = """s AS (SELECT lower(regexp_replace(operation_id, '^\\s+|\\s+$', '', 'g')) AS operation, receipt.state AS state, receipt.progress_seq AS progress, delivered_at, delivery_id
+  FROM memory_operations WHERE operation_id IS NOT NULL AND receipt IS NOT NULL),
+l AS (SELECT *, row_number() OVER w AS n, CASE WHEN lag(state) OVER w IS NOT DISTINCT FROM state AND lag(progress) OVER w IS NOT DISTINCT FROM progress AND row_number() OVER w > 1 THEN 0 ELSE row_number() OVER w END AS fresh
+  FROM s WINDOW w AS (PARTITION BY operation ORDER BY delivered_at, delivery_id)),
+p AS (SELECT operation, arg_max(state, n) AS state, arg_max(progress, n) AS progress, max(n) - max(fresh) AS polls, min(delivered_at) AS first, max(delivered_at) AS last FROM l GROUP BY operation)"""
+
+
+@registry.query(
+    "stream_receipts",
+    f"""WITH {_RECEIPTS}, w AS (SELECT *, CASE WHEN polls > 0 THEN least(60 * pow(2, least(polls - 1, 40)), 3600) ELSE 0 END::BIGINT AS wait FROM p)
+SELECT operation, state, progress, polls::INTEGER AS polls, epoch_us(first) AS first, epoch_us(last) + wait * 1000000 AS next_poll FROM w""",
+)
+def stream_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream over the deliveries knows of each operation's receipt in the end."""
+    found = deliveries.tracked_receipts(spark, f"{sf_dir}/memory_operations.parquet")
+    return found.select("operation", "state", "progress", "polls", F.unix_micros("first_seen").alias("first"), F.unix_micros("next_poll_at").alias("next_poll"))

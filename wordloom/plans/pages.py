@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
+from wordloom.operators import answers, links, snapshots
 from wordloom.operators import context as C
-from wordloom.operators import links, snapshots
 from wordloom.plans import dialect as D
 from wordloom.plans.registry import Registry
 from wordloom.session import read_table
@@ -33,8 +33,14 @@ def _counts(text: str, weight: int) -> str:
 
 
 _SNIPPET = f"array_to_string(list_filter(regexp_split_to_array(CASE WHEN {D.trim("coalesce(description, '')")} <> '' THEN description ELSE coalesce(content, '') END, '{D.WS}+'), lambda w: w <> ''), ' ')"
-# 360 bytes without a character cut in two: the longest prefix of whole characters
-_CUT = "substring(s, 1, len(list_filter(range(1, least(length(s), 360) + 1), lambda i: octet_length(encode(substring(s, 1, i))) <= 360)))"
+
+
+def _cut_to(limit: int) -> str:
+    """Bytes of ``s`` without a character cut in two: the longest prefix of whole characters."""
+    return f"substring(s, 1, len(list_filter(range(1, least(length(s), {limit}) + 1), lambda i: octet_length(encode(substring(s, 1, i))) <= {limit})))"
+
+
+_CUT = _cut_to(360)
 
 _CONTEXT = f"""WITH e AS (SELECT split_part(scope, ':', 1) AS scope, id, title, description, content,
   {_counts("title", 4)} + {_counts("description", 2)} + {_counts("content", 1)} AS score,
@@ -159,3 +165,87 @@ SELECT scope, sha256(coalesce(scope, '') || chr(10) || string_agg(h, '' ORDER BY
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
     return snapshots.generation(_pages(spark, sf_dir), "scope", "id", digest)
+
+
+@registry.query(
+    "rendered_context",
+    f"""WITH c AS ({_CONTEXT}) SELECT '--- context ---' || chr(10) || string_agg('[' || scope || ':' || id || '] ' || coalesce(title, '') || chr(10) || snippet || chr(10), '' ORDER BY score DESC, id)
+  || '--- end of context ---' || chr(10) AS text FROM c""",
+)
+def rendered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.rendered(context(spark, sf_dir))
+
+
+_TAG = "cache"
+
+
+@registry.query("tagged_context", _CONTEXT.replace("FROM wiki_entries WHERE id IS NOT NULL", f"FROM wiki_entries WHERE id IS NOT NULL AND list_contains(tags, '{_TAG}')", 1))
+def tagged_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context from the pages with a tag only."""
+    return C.context(_scoped(spark, sf_dir), QUERY, SCOPES, (_TAG,), limit=32, candidates=512)
+
+
+_LINE = f"""'* [' || coalesce(title, '') || '](/' || id || '.md)' || CASE WHEN {D.trim("coalesce(description, '')")} = '' THEN '' ELSE ' - ' || {D.trim("description")} END"""
+
+
+@registry.query(
+    "catalog_document",
+    f"""WITH l AS (SELECT DISTINCT coalesce(entry_type, 'Uncategorized') AS section, lower(coalesce(title, '')) AS sort_key, {_LINE} AS line FROM wiki_entries WHERE id IS NOT NULL)
+SELECT section, row_number() OVER (PARTITION BY section ORDER BY sort_key, line)::INTEGER AS place, line FROM l UNION ALL SELECT DISTINCT section, 0, '## ' || section FROM l""",
+)
+def catalog_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole catalog, headings and lines by place."""
+    return links.catalog_document(links.catalog_lines(_pages(spark, sf_dir)))
+
+
+@registry.query(
+    "carried_lines",
+    f"""WITH l AS (SELECT DISTINCT id, title, coalesce(entry_type, 'Uncategorized') AS section, {_LINE} AS line FROM wiki_entries
+  WHERE id IS NOT NULL AND {D.trim("coalesce(content, '')")} = '' AND regexp_matches({_LINE}, '^\\* \\[[^\\]\\n]*\\]\\(/[^)\\n]+\\.md\\)'))
+SELECT section, lower(coalesce(title, '')) AS sort_key, line FROM l""",
+)
+def carried_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog's lines of pages that have lost their content."""
+    rows = _pages(spark, sf_dir).where("id is not null").select("id", "title", "content", "entry_type", "description").distinct()
+    lines = links.catalog_lines(rows).withColumn("n", F.xxhash64("section", "line"))
+    plain = lines.where(F.col("line").rlike(r"^\* \[[^\]\n]*\]\(/[^)\n]+\.md\)"))
+    lost = rows.where(~F.coalesce("content", F.lit("")).rlike(r"(?U)\S")).select(F.col("id").alias("target"))
+    return links.carried_lines(plain, lost)
+
+
+@registry.query(
+    "heading_reports",
+    r"""WITH l AS (SELECT id, [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in regexp_split_to_array(content, '\r\n|\r|\n')] AS l FROM (SELECT DISTINCT id, content FROM wiki_entries WHERE content IS NOT NULL)),
+h AS (SELECT id, unnest([regexp_replace(substring(x, 4), '^\s+|\s+$', '', 'g') for x in list_filter(l, lambda y: starts_with(y, '## '))]) AS heading FROM l)
+SELECT id, heading FROM h WHERE NOT regexp_full_match(heading, '[0-9]{4}-[0-9]{2}-[0-9]{2}')""",
+)
+def heading_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of the second level that are no dates, as a change log must not have."""
+    rows = _pages(spark, sf_dir).where("content is not null").select("id", "content").distinct()
+    return links.log_heading_reports(rows, "content").select("id", "heading")
+
+
+@registry.query(
+    "block_reports",
+    r"""WITH b AS (SELECT id, regexp_extract(coalesce(content, ''), '(?s)^\s*---(.*?)\n---', 1) AS b FROM (SELECT DISTINCT id, content FROM wiki_entries))
+SELECT id FROM b WHERE len(list_filter(regexp_split_to_array(b, '\r\n|\r|\n'), lambda x: regexp_matches(x, '\S') AND NOT starts_with(regexp_replace(x, '^\s+|\s+$', '', 'g'), 'owner'))) > 0""",
+)
+def block_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose block holds a key other than the owner."""
+    return links.index_block_reports(_pages(spark, sf_dir).select("id", "content").distinct(), "content", "owner").select("id")
+
+
+@registry.query(
+    "compiled_answers",
+    f"""WITH o AS (SELECT DISTINCT id, title, content, tags, sources, description, entry_type FROM wiki_entries WHERE id IS NOT NULL)
+SELECT id AS source, title, content, coalesce(array_to_string(tags, '|'), '') AS tags, CASE WHEN {D.trim("coalesce(entry_type, '')")} = '' THEN 'Reference' ELSE {D.trim("entry_type")} END AS entry_type,
+  coalesce(len(list_distinct([s.id for s in sources])), 0)::INTEGER AS sources,
+  CASE WHEN {D.trim("coalesce(title, '')")} = '' THEN 'no title' WHEN content IS NULL THEN 'no content' END AS error FROM o""",
+)
+def compiled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages given as a model's fenced JSON, each with its sources twice, and read as entries."""
+    rows = _pages(spark, sf_dir).where("id is not null").select("id", "title", "content", "tags", "sources", "description", F.col("entry_type").alias("type")).distinct()
+    twice = F.concat(F.coalesce("sources", F.array().cast("array<struct<id: string, resource: string>>")), F.coalesce("sources", F.array().cast("array<struct<id: string, resource: string>>")))
+    answer = F.concat(F.lit("```json\n"), F.to_json(F.struct("title", "content", "tags", twice.alias("sources"), "description", "type")), F.lit("\n```"))
+    made = answers.compiled(rows.select(F.col("id").alias("source"), answer.alias("answer")), "source", "answer")
+    return made.select("source", "title", "content", F.array_join("tags", "|").alias("tags"), "entry_type", F.size("sources").alias("sources"), F.substring_index("error", ":", 1).alias("error"))

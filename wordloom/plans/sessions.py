@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
-from wordloom.operators import operations, workflows
+from wordloom.operators import health, operations, workflows
 from wordloom.plans import dialect as D
 from wordloom.plans.registry import Registry
 from wordloom.session import read_table
@@ -178,3 +178,117 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = rows.select(operations.operation_key().alias("needs")).distinct().withColumn("known", F.lit(True))
     keyed = needs.select("operation", operations.operation_key("raw").alias("needs"))
     return keyed.join(known, "needs", "left").select("operation", "needs", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+_RFC = r"\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})"
+
+
+def _instant(text: str) -> str:
+    return f"(CASE WHEN regexp_full_match(trim({text}), '{_RFC}') THEN try_cast(trim({text}) AS TIMESTAMPTZ) END)"
+
+
+@registry.query(
+    "stale_operations",
+    f"""WITH s AS (SELECT delivery_id, coalesce({_instant("coalesce(receipt.updated_at, receipt.created_at)")}, {_instant("queued_at")}) AS since FROM memory_operations),
+n AS (SELECT max(delivered_at) AS now FROM memory_operations)
+SELECT delivery_id, epoch_us(since) AS stale_since FROM s, n WHERE epoch_us(since) < epoch_us(now) - 7 * 86400000000""",
+)
+def stale_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries that stood still for a week before the last one."""
+    rows = read_table(spark, sf_dir, "memory_operations")
+    now = F.broadcast(rows.agg(F.max("delivered_at").cast("timestamp").alias("now")))  # one row
+    found = operations.stale_operations(rows.join(now), F.col("now"), 7)
+    return found.select("delivery_id", F.unix_micros("stale_since").alias("stale_since"))
+
+
+@registry.query(
+    "next_polls",
+    """WITH w AS (SELECT delivery_id, delivered_at, CASE WHEN coalesce(unchanged_polls, 0) <= 0 THEN 0 ELSE least(60 * pow(2, least(unchanged_polls, 40) - 1), 3600) END::BIGINT AS s FROM memory_operations)
+SELECT delivery_id, epoch_us(delivered_at) + s * 1000000 AS next_poll, epoch_us(delivered_at) + s * 1000000 > epoch_us(TIMESTAMP '2025-06-01') AS deferred FROM w""",
+)
+def next_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each operation is to be polled again, and whether a day in June comes before that."""
+    found = operations.next_polls(read_table(spark, sf_dir, "memory_operations"), F.lit("2025-06-01").cast("timestamp_ntz"))
+    return found.select("delivery_id", F.unix_micros(F.col("next_poll_at").cast("timestamp")).alias("next_poll"), "deferred")
+
+
+@registry.query(
+    "batch_summaries",
+    f"""SELECT batch_id, count(*) AS deliveries, count(DISTINCT {_KEY}) AS operations, count(receipt) AS receipts, count(*) FILTER (receipt.state = 'planned') AS planned,
+  count(*) FILTER (receipt.state = 'running') AS running, count(*) FILTER (receipt.state = 'done') AS done, count(*) FILTER (receipt.state = 'failed') AS failed,
+  count(last_error) AS errors, max(delivered_at) AS last FROM memory_operations GROUP BY batch_id""",
+)
+def batch_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operations.batch_summaries(read_table(spark, sf_dir, "memory_operations"))
+
+
+_TOLD = _HASH.format(D.trim("coalesce(payload_hash, receipt.payload_hash)"))
+_NORMAL = f"""n AS (SELECT delivery_id, {_KEY} AS operation_id, state, sha256(arguments) AS made, {_TOLD} AS told FROM memory_operations)"""
+
+
+@registry.query(
+    "normalized_operations",
+    f"WITH {_NORMAL} SELECT delivery_id, operation_id, made AS payload_hash, coalesce(state, 'pending') AS state FROM n WHERE operation_id IS NOT NULL AND (told IS NULL OR told = made)",
+)
+def normalized_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries with tidy ids and hashes recomputed from their arguments."""
+    good, _ = operations.normalized_operations(read_table(spark, sf_dir, "memory_operations"))
+    return good.select("delivery_id", "operation_id", "payload_hash", "state")
+
+
+@registry.query(
+    "dead_letters",
+    f"""WITH {_NORMAL} SELECT delivery_id, CASE WHEN operation_id IS NULL THEN 'no operation id' ELSE 'the payload hash is ' || made || ', not ' || told END AS error
+FROM n WHERE operation_id IS NULL OR (told IS NOT NULL AND told <> made)""",
+)
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries without an id or with another payload than their hash tells."""
+    return operations.normalized_operations(read_table(spark, sf_dir, "memory_operations"))[1]
+
+
+_CHECKS = (
+    ("operation ids", "memory_operations", "operation_id IS NULL", "last_error IS NOT NULL"), ("receipts", "memory_operations", "receipt.state = 'lost'", "receipt IS NULL"),
+    ("document texts", "documents", "n_chars < 0", "text IS NULL"), ("page types", "wiki_entries", "id IS NULL", "entry_type IS NULL"),
+    ("sessions", "transcript_digests", "session_id IS NULL", "tool_sequence IS NULL"), ("workflows", "workflows", "workflow_id IS NULL", "prompt_shingles IS NULL"),
+)
+_CHECK = """SELECT '{0}' AS name, CASE WHEN f > 0 THEN 'FAIL' WHEN w > 0 THEN 'WARN' ELSE 'PASS' END AS status, f || ' failed, ' || w || ' warned' AS detail
+FROM (SELECT count(*) FILTER ({2}) AS f, count(*) FILTER ({3}) AS w FROM {1})"""
+_ALL_CHECKS = " UNION ALL ".join(_CHECK.format(*c) for c in _CHECKS)
+
+
+@registry.query("health", _ALL_CHECKS)
+def table_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A check of each table."""
+    return health.together(*[health.check(read_table(spark, sf_dir, t), n, F.expr(f), F.expr(w)) for n, t, f, w in _CHECKS])
+
+
+@registry.query("health_summary", f"SELECT count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'WARN') AS warned, count(*) FILTER (status = 'FAIL') AS failed FROM ({_ALL_CHECKS})")
+def health_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.summary(table_health(spark, sf_dir))
+
+
+@registry.query(
+    "durations",
+    """WITH d AS (SELECT delivery_id, unchanged_polls || (['s', 'm', 'h', 'd', 'y', ''])[delivery_id % 6 + 1] AS d FROM memory_operations)
+SELECT delivery_id, d AS text, CASE WHEN regexp_full_match(d, '[0-9]{1,12}[smhd]') AND substring(d, 1, length(d) - 1)::BIGINT > 0
+  THEN substring(d, 1, length(d) - 1)::BIGINT * CASE d[-1] WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 ELSE 86400 END END AS seconds FROM d""",
+)
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of durations, made of a count and a unit."""
+    unit = F.element_at(F.array(*map(F.lit, ("s", "m", "h", "d", "y", ""))), (F.col("delivery_id") % 6 + 1).cast("int"))
+    rows = read_table(spark, sf_dir, "memory_operations").select("delivery_id", F.concat(F.col("unchanged_polls").cast("string"), unit).alias("text"))
+    return rows.select("delivery_id", "text", operations.duration_seconds(F.col("text")).alias("seconds"))
+
+
+@registry.query(
+    "cluster_evidence",
+    f"""WITH RECURSIVE {_SIMILAR}, one AS ({_ONE}), {D.led("SELECT workflow_id AS node, recorded_at AS since FROM one", "SELECT a, b FROM r WHERE s >= 0.5")}
+SELECT led.anchor, string_agg(led.node || ':' || (round(coalesce(r.s, 1), 3) * 1000)::BIGINT, '|' ORDER BY led.node) AS evidence
+FROM led LEFT JOIN r ON r.a = least(led.node, led.anchor) AND r.b = greatest(led.node, led.anchor) GROUP BY led.anchor""",
+)
+def cluster_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workflows of each cluster, with their similarity to its anchor in thousandths."""
+    led = workflows.workflow_clusters(read_table(spark, sf_dir, "workflows"))
+    found = workflows.cluster_evidence(led, "workflow_id")
+    item = lambda e: F.concat(e["key"], F.lit(":"), F.round(e["similarity"] * 1000).cast("bigint").cast("string"))
+    return found.select("anchor", F.array_join(F.transform("evidence", item), "|").alias("evidence"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +30,40 @@ def commit(entries: DataFrame, root: str, scope: str, key: str = "id") -> str:
     done, fs = _path(spark, f"{target}/_SUCCESS")
     if not fs.exists(done):
         entries.write.mode("overwrite").parquet(target)
-    fresh, fs = _path(spark, f"{root}/{scope}/.current-{name}")
+    fresh, fs = _path(spark, f"{root}/{scope}/.current-{uuid.uuid4().hex}")
     out = fs.create(fresh, True)
     out.write(bytearray(name.encode()))
     out.close()
     current, _ = _path(spark, f"{root}/{scope}/current")
-    if fs.exists(current):
-        fs.delete(current, False)
-    fs.rename(fresh, current)
+    # one rename that replaces what is there: a reader finds the old pointer or the new one, never none
+    jvm = spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
+    options[0] = getattr(jvm, "Options$Rename").OVERWRITE
+    jvm.FileContext.getFileContext(current.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(current), options)
     return name
 
 
+def publish(pages: DataFrame, root: str, scopes: list[str], error: str | None = None) -> DataFrame:
+    """``scope, entries, failures, status, generation``: commit a generation of each of the scopes asked for.
+
+    A scope without pages is ``missing``; one with a page that doesn't parse (``error`` isn't null) is ``refused`` and
+    keeps the generation it had; the others are ``published``. An error if none is.
+    """
+    failed = F.count_if(F.col(error).isNotNull()) if error else F.lit(0)
+    counts = {r.scope: r for r in pages.where(F.col("scope").isin(scopes)).groupBy("scope").agg(F.count("*").alias("n"), failed.alias("failed")).collect()}
+    told = []
+    for scope in scopes:
+        have = counts.get(scope)
+        fine = have is not None and not have.failed
+        rows = pages.where(F.col("scope") == scope)
+        name = commit(rows.drop(error) if error else rows, root, scope) if fine else None
+        status = "missing" if have is None else "published" if fine else "refused"
+        told.append((scope, have.n if have else 0, have.failed if have else 0, status, name))
+    if not any(t[3] == "published" for t in told):
+        raise ValueError("no scope could be published")
+    return pages.sparkSession.createDataFrame(told, "scope string, entries bigint, failures bigint, status string, generation string")
+
+
 def exists(spark: SparkSession, root: str, scope: str) -> bool:
     """Whether the scope has a current generation."""
     pointer, fs = _path(spark, f"{root}/{scope}/current")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -167,6 +169,32 @@ def render_pages(pages: DataFrame, actor: str = "wordloom") -> DataFrame:
     return pages.select(F.concat("id", F.lit(".md")).alias("path"), rendered(F.to_json(head), "content").alias("text"))
 
 
+def write_pages(files: DataFrame, folder: str) -> DataFrame:
+    """Write ``files(path, text)`` below a folder that every executor has mounted, each by a rename; ``path, bytes`` of each.
+
+    The work is done where the result is read. A path that would leave the folder is an error.
+    """
+    base = folder.removeprefix("file://").rstrip("/")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = []
+            for path, text in zip(batch["path"], batch["text"]):
+                target = os.path.normpath(os.path.join(base, path))
+                if not target.startswith(base + "/"):
+                    raise ValueError(f"{path} leaves the folder")
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                fresh = f"{target}.{os.getpid()}.tmp"
+                raw = (text or "").encode()
+                with open(fresh, "wb") as file:
+                    file.write(raw)
+                os.replace(fresh, target)
+                sizes.append(len(raw))
+            yield pd.DataFrame({"path": batch["path"], "bytes": sizes})
+
+    return files.select("path", "text").mapInPandas(run, "path string, bytes bigint")
+
+
 def media_type(path: Column | str) -> Column:
     """Kind of a raw document by its name."""
     p = F.lower(F.col(path) if isinstance(path, str) else path)

@@ -37,38 +37,96 @@ def first_deliveries(spark: SparkSession, path: str) -> DataFrame:
 
 
 class ReceiptTracker(StatefulProcessor):
-    """Per operation: the receipt's last (state, progress), how many polls left it unchanged, and when to poll again."""
+    """Per operation: the receipt's last (state, progress), when it was first seen, how many polls left it unchanged, and the next poll.
+
+    A receipt is first seen when it is delivered, or now if that lies ahead. With ``timers`` a timer is set for the next
+    poll and gives a row with ``due`` when it fires; it counts as no poll.
+    """
 
     base, most = 60, 3600
 
+    def __init__(self, timers: bool = False) -> None:
+        self.timers = timers
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "state string, progress bigint, polls int")
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "state string, progress bigint, polls int, first_seen timestamp, last_seen timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         before = self.seen.get() if self.seen.exists() else None
-        state, progress, polls = before if before else (None, None, 0)
+        state, progress, polls, first, last = before if before else (None, None, 0, None, None)
         known = before is not None
         batch = pd.concat(list(rows)).sort_values(["delivered_at", "delivery_id"])
+        now = pd.Timestamp.now("UTC").tz_localize(None)
         for row in batch.itertuples():
             reached = None if pd.isna(row.progress) else int(row.progress)
             same = known and row.state == state and reached == progress
             polls = polls + 1 if same else 0
+            at = min(pd.Timestamp(row.delivered_at), now)
+            first, last = min(first or at, at), max(last or at, at)
             state, progress, known = row.state, reached, True
-        self.seen.update((state, progress, polls))
-        wait = min(self.base * 2 ** min(polls - 1, 40), self.most) if polls else 0
-        yield pd.DataFrame({"operation": [key[0]], "state": [state], "progress": [progress], "polls": [polls], "wait_seconds": [wait]})
+        first, last = (pd.Timestamp(t).to_pydatetime() for t in (first, last))
+        self.seen.update((state, progress, polls, first, last))
+        if self.timers:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int((self._next(last, polls) - pd.Timestamp(0)).total_seconds() * 1000))
+        yield self._row(key, False)
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+        yield self._row(key, True)
+
+    def _next(self, last, polls: int) -> pd.Timestamp:
+        return pd.Timestamp(last) + pd.Timedelta(seconds=self._wait(polls))
+
+    def _wait(self, polls: int) -> int:
+        return min(self.base * 2 ** min(polls - 1, 40), self.most) if polls else 0
+
+    def _row(self, key, due: bool) -> pd.DataFrame:
+        state, progress, polls, first, last = self.seen.get()
+        return pd.DataFrame(
+            {
+                "operation": [key[0]], "state": [state], "progress": [progress], "polls": [polls], "wait_seconds": [self._wait(polls)],
+                "first_seen": [pd.Timestamp(first)], "next_poll_at": [self._next(last, polls)], "due": [due],
+            }
+        )
 
     def close(self) -> None:
         pass
 
 
-def track_receipts(receipts: DataFrame) -> DataFrame:
+_TRACKED = "operation string, state string, progress bigint, polls int, wait_seconds bigint, first_seen timestamp, next_poll_at timestamp, due boolean"
+
+
+def track_receipts(receipts: DataFrame, timers: bool = False) -> DataFrame:
     """The tracked row of each operation that a batch of ``receipts(operation, delivery_id, delivered_at, state, progress)`` names.
 
-    ``receipts`` is a stream; its state store must be RocksDB.
+    ``receipts`` is a stream; its state store must be RocksDB. With ``timers`` a row with ``due`` tells that a poll is to be made.
     """
     return receipts.groupBy("operation").transformWithStateInPandas(
-        statefulProcessor=ReceiptTracker(),
-        outputStructType="operation string, state string, progress bigint, polls int, wait_seconds bigint",
-        outputMode="Update", timeMode="None",
+        statefulProcessor=ReceiptTracker(timers), outputStructType=_TRACKED, outputMode="Update", timeMode="ProcessingTime" if timers else "None"
+    )
+
+
+def tracked_receipts(spark: SparkSession, path: str) -> DataFrame:
+    """track_receipts() over all deliveries that a run finds, as a table: the last row of each operation."""
+    folder, setting = scratch(spark), "spark.sql.streaming.stateStore.providerClass"
+    rows = read_stream(spark, path).where("operation_id is not null and receipt is not null").select(
+        F.lower(strip_space("operation_id")).alias("operation"), "delivery_id", F.col("delivered_at").cast("timestamp").alias("delivered_at"),
+        F.col("receipt.state").alias("state"), F.col("receipt.progress_seq").alias("progress"),
     )
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        (
+            track_receipts(rows).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+        )
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+    written = spark.read.schema(f"{_TRACKED}, batch int").parquet(f"{folder}/out")
+    return written.groupBy("operation").agg(F.max_by(F.struct(*[c for c in written.columns if c != "operation"]), "batch").alias("l")).select("operation", "l.*")

@@ -12,12 +12,12 @@ from wordloom.functions.text import content_hash
 from wordloom.sources.pages import media_type
 
 
-def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
+def raw_documents(spark: SparkSession, folder: str, nested: bool = False) -> DataFrame:
     """``path, content, media_type, content_hash`` of each file that arrives; names ending in ``.tmp`` are not read yet.
 
-    A file is read once: one that changes later under the same name isn't read again.
+    A file is read once: one that changes later under the same name isn't read again. Folders within are read if ``nested``.
     """
-    texts = spark.readStream.format("text").option("wholetext", "true").load(folder)
+    texts = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", str(nested).lower()).load(folder)
     path = F.col("_metadata.file_path")
     rows = texts.select(path.alias("path"), F.col("value").alias("content")).where(~F.col("path").endswith(".tmp"))
     return rows.withColumns({"media_type": media_type("path"), "content_hash": content_hash("content")})
