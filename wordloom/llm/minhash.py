@@ -149,6 +149,39 @@ def may_agree(share: float) -> Column:
     return fits & (F.least("after_x", "after_y") >= needed)
 
 
+def with_runs(records: DataFrame, name: str, size: int) -> DataFrame:
+    """The list ``name`` of 64-bit hashes becomes the set of hashes of each run of ``size`` of them, in order.
+
+    A shorter list becomes an empty set. The list has no nulls; other columns stay.
+    """
+    names = records.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(name)
+            column = batch.column(place)
+            values, starts = _sets(column)
+            length = np.diff(column.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(column)), length)
+            n = max(0, len(values) - size + 1)
+            mixed = np.zeros(n, np.uint64)
+            for k in range(size):
+                mixed = (mixed ^ values[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+            inside = owner[:n] == owner[size - 1 :][:n]
+            mixed, of = mixed[inside], owner[:n][inside]
+            order = np.lexsort((mixed, of))
+            mixed, of = mixed[order], of[order]
+            new = np.ones(len(mixed), bool)
+            new[1:] = (mixed[1:] != mixed[:-1]) | (of[1:] != of[:-1])
+            ends = np.concatenate(([0], np.cumsum(np.bincount(of[new], minlength=len(column)))))
+            made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(mixed[new].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([made if k == place else batch.column(k) for k in range(len(names))], names)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in records.dtypes)
+    return records.mapInArrow(run, schema)
+
+
 def _mixed(rows: np.ndarray, band: int) -> np.ndarray:
     """One number of the minima of a band: minima x sets."""
     mixed = np.full(rows.shape[1], band, dtype=np.uint64)

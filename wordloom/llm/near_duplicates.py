@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import shingles, words
-from wordloom.llm.minhash import CROWD, agreeing, may_agree, overlap, rare_heads, shared_buckets, with_bands
+from wordloom.functions.text import words
+from wordloom.llm.minhash import CROWD, agreeing, may_agree, overlap, rare_heads, shared_buckets, with_bands, with_runs
 from wordloom.operators.components import connected_components
 from wordloom.session import cut
 
@@ -34,13 +34,10 @@ def text_classes(records: DataFrame, key: str, title: str, content: str, size: i
     worded = records.where(F.col(key).isNotNull() & F.col(content).rlike(r"[\p{L}\p{N}]")).select(
         F.col(key).alias("key"), words(whole).alias("words")
     )
-    # the words stand in a projection of their own: inside the shingles' lambda they would be found again for each
+    # the words stand in a projection of their own: inside the lambda they would be found again for each
+    hashes = worded.select("key", F.transform("words", lambda w: F.xxhash64(w)).alias("grams"))
     # written, since both classes and members are made of them: a text's shingles are taken once
-    held = cut(
-        worded.select("key", shingles(F.col("words"), size).alias("grams")).select(
-            "*", F.xxhash64("grams").alias("k1"), F.xxhash64(F.lit(1), "grams").alias("k2")
-        )
-    )
+    held = cut(with_runs(hashes, "grams", size).select("*", F.xxhash64("grams").alias("k1"), F.xxhash64(F.lit(1), "grams").alias("k2")))
     classes = held.groupBy("k1", "k2").agg(F.any_value("grams").alias("grams")).where("size(grams) > 0")
     classes = cut(with_bands(classes.withColumn("node", F.monotonically_increasing_id()), "grams", BANDS, ROWS))
     one = held.groupBy("key").agg(F.min(F.struct("k1", "k2")).alias("k"))
