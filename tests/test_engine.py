@@ -162,3 +162,42 @@ def test_keywords(spark):
     for r in keywords.long_text_keywords(df, "k", "t").orderBy("k", "place").collect():
         got.setdefault(r.k, []).append(r.token)
     assert got == {k: fold(t) for k, t in texts.items()}
+
+
+def test_tools_readiness_and_models(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    assert kb.readiness().head().entries == 0
+    kb.call("ingest", {"content": "Retry queue\nthe retry queue drains slowly"})
+    kb.call("ingest", {"content": "Lease table\nleases expire hourly"})
+    assert {t.name for t in kb.described_tools()} == {"ingest", "lint", "focus", "search", "get"}
+    assert kb.call("get", {"entry_id": "retry-queue"}).head().title == "Retry queue"
+    for name, arguments in (("get", {}), ("get", {"entry_id": "x", "more": 1})):
+        with pytest.raises(ValueError):
+            kb.call(name, arguments)
+    with pytest.raises(KeyError):
+        kb.call("drop", {})
+    ready = kb.readiness().head()
+    assert (ready.scope, ready.entries, ready.faults, len(ready.generation)) == ("project", 2, 0, 64)
+    assert [r.id for r in kb.list().collect()] == ["lease-table", "retry-queue"] and kb.list(1).count() == 1
+    asked = []
+    model = lambda topic, block: asked.append(block) or f"about {topic}"
+    assert kb.focus("drains", model=model).head().text == "about drains" and "retry-queue" in asked[0] and "lease" not in asked[0]
+    assert kb.focus("unheard", model=model).head().text == "Nothing was found about: unheard" and len(asked) == 1
+    judge = lambda pages: '[{"id": "retry-queue", "severity": "error", "issue": "vague", "suggestion": "say more"}]'
+    assert kb.lint(judge).where("issue = 'vague' and target = 'say more'").count() >= 1
+    lines = [r.line for r in kb.catalog_document().orderBy("section", "place").collect()]
+    assert lines[0] == "## Reference" and len(lines) == 3
+
+
+def test_pointer_is_replaced_at_once(spark, tmp_path):
+    """A second commit renames over the pointer; what was checked once isn't checked again, what was changed is found."""
+    from wordloom.sources import generations
+
+    rows = lambda n: spark.createDataFrame([(f"i{k}", k) for k in range(n)], "id string, v int")
+    root = str(tmp_path / "g")
+    names = [generations.commit(rows(n), root, "s") for n in (2, 3, 2)]
+    assert names[0] == names[2] and generations.current(spark, root, "s") == names[0] and generations.read_current(spark, root, "s").count() == 2
+    told = generations.publish(rows(2).selectExpr("id", "v", "'s' AS scope", "CASE WHEN id = 'i1' THEN 'bad' END AS error").union(rows(1).selectExpr("id", "v", "'t'", "null")), root, ["s", "t", "u"], "error")
+    assert {r.scope: r.status for r in told.collect()} == {"s": "refused", "t": "published", "u": "missing"}
+    with pytest.raises(ValueError):
+        generations.publish(rows(2).selectExpr("id", "v", "'s' AS scope"), root, ["nowhere"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators import context as C
-from wordloom.operators import keywords, links, search, set_join, snapshots
+from wordloom.operators import answers, keywords, links, search, set_join, snapshots
 from wordloom.operators.clusters import leader_clusters
 from wordloom.session import cut
 from wordloom.sources import generations
@@ -47,21 +48,57 @@ def plain_model(batch: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+#: What focus() says where nothing was found.
+NOTHING = "Nothing was found about: {}"
+
+
+@dataclass(frozen=True)
+class Tool:
+    """An operation for callers that dispatch on names: its arguments as a JSON schema, and what runs it."""
+
+    name: str
+    description: str
+    schema: dict
+    run: Callable[..., DataFrame | str]
+
+
 class KnowledgeBase:
     """Entries of one scope below ``folder``; every change is a new generation, and readers see whole generations only."""
 
     def __init__(self, spark: SparkSession, folder: str, scope: str = "project", model: Model = plain_model) -> None:
         self.spark, self.folder, self.scope, self.model = spark, folder, scope, model
+        self._checked: str | None = None
         if not generations.exists(spark, folder, scope):
             generations.commit(spark.createDataFrame([], ENTRY), folder, scope)
 
     def entries(self) -> DataFrame:
-        """The entries of the current generation, after a check of their content."""
-        return generations.read_current(self.spark, self.folder, self.scope)
+        """The entries of the current generation; the content of each generation is checked when this object first reads it.
+
+        A generation never changes, so what was checked once, or written by this object, is only read.
+        """
+        name = generations.current(self.spark, self.folder, self.scope)
+        if name == self._checked:
+            return generations.read(self.spark, self.folder, self.scope, name)
+        found = generations.read_current(self.spark, self.folder, self.scope)
+        self._checked = name
+        return found
 
     def _commit(self, entries: DataFrame) -> str:
         # written once before it replaces what it was read from
-        return generations.commit(cut(entries), self.folder, self.scope)
+        self._checked = generations.commit(cut(entries), self.folder, self.scope)
+        return self._checked
+
+    def readiness(self) -> DataFrame:
+        """One row: the scope, its generation, its entries and those that don't stand up to the rules."""
+        faults = links.page_reports(self.entries()).where("severity = 'error'").select("id").distinct().agg(F.count("*").alias("faults"))
+        name = generations.current(self.spark, self.folder, self.scope)
+        counts = self.entries().agg(F.count("*").alias("entries")).join(F.broadcast(faults))  # a row each
+        return counts.select(F.lit(self.scope).alias("scope"), F.lit(name).alias("generation"), "entries", "faults")
+
+    def list(self, limit: int | None = None) -> DataFrame:
+        """``id, title, entry_type, updated_at`` in order of id; all, or the first ``limit``."""
+        rows = self.entries().select("id", "title", "entry_type", "updated_at").orderBy("id")
+        return rows if limit is None else rows.limit(limit)
 
     def related(self, raw: DataFrame, k: int = 5) -> DataFrame:
         """``path, related``: up to ``k`` ids of the entries best by TF-IDF for the terms of each raw document's first 500 bytes.
@@ -172,12 +209,28 @@ class KnowledgeBase:
         row = keywords.long_text_keywords(self.spark.createDataFrame([(1, topic)], "k int, t string"), "k", "t").orderBy("place").collect()
         return " ".join(r.token for r in row) or topic[: keywords.LONG]
 
-    def focus(self, topic: str, k: int = 10) -> DataFrame:
-        """``text``: the entries that serve a topic best, in one block."""
-        return C.rendered(self.context(self.focus_query(topic), k))
+    def focus(self, topic: str, k: int = 10, model: Callable[[str, str], str] | None = None) -> DataFrame:
+        """``text``: the entries that serve a topic best, in one block, or what a model makes of them.
 
-    def lint(self) -> DataFrame:
-        return links.page_reports(self.entries())
+        The entries are the best ``k`` by TF-IDF for the topic or its keywords. ``model(topic, block)`` gives the text; it isn't
+        asked where nothing is found, and the text then says so.
+        """
+        query = self.focus_query(topic)
+        if model is None:
+            return C.rendered(self.context(query, k))
+        best = self.search(query, k)
+        blocks = C.entry_blocks(self.entries().join(F.broadcast(best.select("id", "score")), "id"))  # k rows
+        ranked = blocks.join(best.select("id", "score"), "id").orderBy(F.desc("score"), "id").collect()
+        text = model(topic, "\n".join(r.block for r in ranked)) if ranked else NOTHING.format(topic)
+        return self.spark.createDataFrame([(text,)], "text string")
+
+    def lint(self, model: Callable[[list[dict]], str] | None = None) -> DataFrame:
+        """``id, severity, issue, target, fixable`` by the rules, and what a model finds in batches of pages if one is given."""
+        found = links.page_reports(self.entries())
+        if model is None:
+            return found
+        told = answers.ask_in_batches(self.entries(), model)
+        return found.union(told.select("id", "severity", "issue", F.col("suggestion").alias("target"), F.lit(False).alias("fixable")))
 
     def fix_types(self) -> str:
         """Give entries without a type the type Reference."""
@@ -190,9 +243,37 @@ class KnowledgeBase:
     def stats(self) -> DataFrame:
         return self.entries().agg(F.count("*").alias("entries"), F.sum(F.size("tags")).alias("tags"), F.sum(F.size("links")).alias("links"))
 
+    def catalog_document(self, carried: DataFrame | None = None) -> DataFrame:
+        """The catalog as a document, with the lines carried over for pages that don't parse (see links.carried_lines())."""
+        lines = links.catalog_lines(self.entries())
+        return links.catalog_document(lines if carried is None else lines.union(carried.select(lines.columns)))
+
     def tools(self) -> dict[str, Callable[..., DataFrame | str]]:
         """The operations by name, for callers that dispatch on names."""
-        return {"ingest": self._ingest_text, "lint": self.lint, "focus": self.focus, "search": self.search, "get": self.get}
+        return {t.name: t.run for t in self.described_tools()}
+
+    def described_tools(self) -> list[Tool]:
+        """The operations with what a caller must know of each."""
+        text = {"type": "string"}
+        wanted = lambda **fields: {"type": "object", "properties": fields, "required": [n for n, f in fields.items() if f == text]}
+        number = {"type": "integer", "minimum": 1}
+        return [
+            Tool("ingest", "Compile a text into an entry and merge it in.", wanted(content=text), self._ingest_text),
+            Tool("lint", "Report entries that break a rule.", wanted(), self.lint),
+            Tool("focus", "Tell what serves a topic best.", wanted(topic=text, k=number), self.focus),
+            Tool("search", "Rank entries by full text.", wanted(query=text, k=number), self.search),
+            Tool("get", "Give one entry by its id.", wanted(entry_id=text), self.get),
+        ]
+
+    def call(self, name: str, arguments: dict) -> DataFrame | str:
+        """Run a tool by name; arguments that its schema doesn't know, or that it misses, are an error."""
+        tool = next((t for t in self.described_tools() if t.name == name), None)
+        if tool is None:
+            raise KeyError(name)
+        known, needed = set(tool.schema["properties"]), set(tool.schema["required"])
+        if set(arguments) - known or needed - set(arguments):
+            raise ValueError(f"{name} takes {sorted(known)} and needs {sorted(needed)}")
+        return tool.run(**arguments)
 
     def _ingest_text(self, content: str, source: str = "text") -> str:
         name = f"{source}-{hashlib.sha256(content.encode()).hexdigest()[:8]}"

@@ -51,3 +51,10 @@ def similar_sets(classes: DataFrame, threshold: float) -> DataFrame:
     common = F.size(F.array_intersect("items_a", "items_b"))
     ratio = common / (F.size("items_a") + F.size("items_b") - common)
     return both.select("a", "b", ratio.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """``node, nearest, similarity``: the most similar partner of each node of ``pairs(a, b, similarity)``; ties go to the last."""
+    ways = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity"))
+    best = ways.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("similarity", "b")).alias("m"))
+    return best.select("node", F.col("m.b").alias("nearest"), "m.similarity")

@@ -257,3 +257,42 @@ def promoted_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of short texts that have a reason to be promoted; those marked as handled are left out."""
     rows = _documents(spark, sf_dir).where("source in ('lesson', 'skill', 'glossary')")
     return _facts(workflows.unmarked(rows, "text", IMMEDIATE_MARKS), True)
+
+
+def _page_sets(words: str) -> str:
+    return f"WITH w AS (SELECT DISTINCT id AS doc_id, {words} AS w FROM wiki_entries WHERE id IS NOT NULL)"
+
+
+_RUNS = f"""(SELECT CASE WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE [t[i] || ' ' || t[i+1] || ' ' || t[i+2] for i in range(1, len(t) - 1)] END FROM (SELECT {D.fingerprint_tokens("content")} AS t))"""
+_NEAR_PAGES = _page_sets(D.normal_words("content")) + _SETS.format(t=0.85)
+
+
+def _page_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = read_table(spark, sf_dir, "wiki_entries").where("id is not null").select("id", "content").distinct()
+    return set_join.set_classes(pages, "id", T.normal_words("content"))
+
+
+@registry.query("near_pages", _NEAR_PAGES)
+def near_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of pages whose word sets agree to 0.85, between representatives of equal sets."""
+    pairs = set_join.similar_sets(_page_classes(spark, sf_dir)[0], 0.85)
+    return pairs.select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+@registry.query(
+    "nearest_pages",
+    f"""WITH pairs AS ({_NEAR_PAGES}), ways AS (SELECT a, b, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs)
+SELECT a AS id, arg_max(b, (similarity, b)) AS nearest, max(similarity) AS similarity FROM ways GROUP BY a""",
+)
+def nearest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each page with a near copy the most similar one; ties go to the last id."""
+    found = set_join.nearest(set_join.similar_sets(_page_classes(spark, sf_dir)[0], 0.85))
+    return found.select(F.col("node").alias("id"), "nearest", F.round("similarity", 9).alias("similarity"))
+
+
+@registry.query("similar_page_runs", _page_sets(_RUNS) + _SETS.format(t=0.6))
+def similar_page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of pages whose runs of three words agree to 0.6, as lessons are compared."""
+    pages = read_table(spark, sf_dir, "wiki_entries").where("id is not null").select("id", F.coalesce("content", F.lit("")).alias("content")).distinct()
+    pairs, _ = workflows.similar_lessons(pages, "id", "content")
+    return pairs.select("a", "b", F.round("similarity", 9).alias("similarity"))

@@ -215,9 +215,9 @@ def carried_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "heading_reports",
-    r"""WITH l AS (SELECT id, [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in regexp_split_to_array(content, '\r\n|\r|\n')] AS l FROM (SELECT DISTINCT id, content FROM wiki_entries WHERE content IS NOT NULL)),
-h AS (SELECT id, unnest([regexp_replace(substring(x, 4), '^\s+|\s+$', '', 'g') for x in list_filter(l, lambda y: starts_with(y, '## '))]) AS heading FROM l)
-SELECT id, heading FROM h WHERE NOT regexp_full_match(heading, '[0-9]{4}-[0-9]{2}-[0-9]{2}')""",
+    rf"""WITH l AS (SELECT id, [{D.trim("x")} for x in regexp_split_to_array(content, '\r\n|\r|\n')] AS l FROM (SELECT DISTINCT id, content FROM wiki_entries WHERE content IS NOT NULL)),
+h AS (SELECT id, unnest([{D.trim("substring(x, 4)")} for x in list_filter(l, lambda y: starts_with(y, '## '))]) AS heading FROM l)
+SELECT id, heading FROM h WHERE NOT regexp_full_match(heading, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')""",
 )
 def heading_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of the second level that are no dates, as a change log must not have."""
@@ -239,7 +239,7 @@ def block_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     "compiled_answers",
     f"""WITH o AS (SELECT DISTINCT id, title, content, tags, sources, description, entry_type FROM wiki_entries WHERE id IS NOT NULL)
 SELECT id AS source, title, content, coalesce(array_to_string(tags, '|'), '') AS tags, CASE WHEN {D.trim("coalesce(entry_type, '')")} = '' THEN 'Reference' ELSE {D.trim("entry_type")} END AS entry_type,
-  coalesce(len(list_distinct([s.id for s in sources])), 0)::INTEGER AS sources,
+  (coalesce(len(list_distinct([s.id for s in sources])), 0) + 2 * coalesce(len(list_filter(sources, lambda s: s.id IS NULL)), 0))::INTEGER AS sources,
   CASE WHEN {D.trim("coalesce(title, '')")} = '' THEN 'no title' WHEN content IS NULL THEN 'no content' END AS error FROM o""",
 )
 def compiled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

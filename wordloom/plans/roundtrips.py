@@ -164,7 +164,8 @@ def stream_routed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.concat("session_id", F.lit("@"), F.coalesce(_micros("captured_at"), F.lit(0)).cast("string"))
+    sizes = [F.coalesce(F.size(c), F.lit(-1)).cast("string") for c in ("prompts", "tool_sequence")]
+    key = F.concat_ws("@", "session_id", F.coalesce(_micros("captured_at"), F.lit(0)).cast("string"), *sizes)
     rows = read_table(spark, sf_dir, "transcript_digests").where("session_id is not null")
     return rows.select(key.alias("session_id"), "prompts", "tool_sequence").distinct()
 
@@ -184,7 +185,7 @@ def _transcripts(rows: DataFrame) -> DataFrame:
 
 _TOOL = f"""CASE WHEN starts_with(x, 'Bash:') THEN CASE WHEN {D.trim("substring(x, 6)")} = '' THEN 'Bash' ELSE 'Bash:' || substring(regexp_split_to_array({D.trim("substring(x, 6)")}, '{D.WS}+')[1], 1, 40) END
   WHEN starts_with(x, 'Skill:') THEN CASE WHEN {D.trim("substring(x, 7)")} = '' THEN 'Skill' ELSE 'Skill:' || {D.trim("string_split(substring(x, 7), ':')[-1]")} END ELSE x END"""
-_DIGESTS = f"""WITH s AS (SELECT DISTINCT session_id || '@' || coalesce(epoch_us(captured_at), 0) AS session_id, prompts, tool_sequence FROM transcript_digests WHERE session_id IS NOT NULL),
+_DIGESTS = f"""WITH s AS (SELECT DISTINCT session_id || '@' || coalesce(epoch_us(captured_at), 0) || '@' || coalesce(len(prompts), -1) || '@' || coalesce(len(tool_sequence), -1) AS session_id, prompts, tool_sequence FROM transcript_digests WHERE session_id IS NOT NULL),
 d AS (SELECT session_id, [substring({D.trim("x")}, 1, 1000) for x in list_filter(coalesce(prompts, []), lambda y: y IS NOT NULL AND {D.trim("y")} <> '' AND NOT starts_with({D.trim("y")}, '<'))] AS p,
   [{_TOOL} for x in list_filter(coalesce(tool_sequence, []), lambda y: y IS NOT NULL)] AS t FROM s)
 SELECT session_id, array_to_string(p[:200], chr(10)) AS prompts, array_to_string(t[:2000], ' > ') AS tools,

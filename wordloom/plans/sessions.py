@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
@@ -223,7 +223,8 @@ def batch_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOLD = _HASH.format(D.trim("coalesce(payload_hash, receipt.payload_hash)"))
-_NORMAL = f"""n AS (SELECT delivery_id, {_KEY} AS operation_id, state, sha256(arguments) AS made, {_TOLD} AS told FROM memory_operations)"""
+_SORTED = """'{' || array_to_string([to_json(k)::VARCHAR || ':' || json_extract(arguments, '$.' || k)::VARCHAR for k in list_sort(json_keys(arguments))], ',') || '}'"""
+_NORMAL = f"""n AS (SELECT delivery_id, {_KEY} AS operation_id, state, sha256({_SORTED}) AS made, {_TOLD} AS told FROM memory_operations)"""
 
 
 @registry.query(
@@ -292,3 +293,31 @@ def cluster_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = workflows.cluster_evidence(led, "workflow_id")
     item = lambda e: F.concat(e["key"], F.lit(":"), F.round(e["similarity"] * 1000).cast("bigint").cast("string"))
     return found.select("anchor", F.array_join(F.transform("evidence", item), "|").alias("evidence"))
+
+
+_NEXT = "lead(receipt) OVER (PARTITION BY batch_id ORDER BY delivery_id)"
+
+
+@registry.query(
+    "foreign_receipts",
+    f"""WITH f AS (SELECT delivery_id, operation_id, schema_version, method, payload_hash, {_NEXT} AS receipt FROM memory_operations)
+SELECT * FROM (SELECT delivery_id, CASE WHEN {_KEY} <> lower({D.trim("receipt.operation_id")}) THEN 'operation'
+  WHEN schema_version <> receipt.schema_version THEN 'version' WHEN method <> receipt.kind THEN 'kind'
+  WHEN {_HASH.format(D.trim("payload_hash"))} <> {_HASH.format(D.trim("receipt.payload_hash"))} THEN 'payload' END AS fault FROM f) WHERE fault IS NOT NULL""",
+)
+def foreign_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """receipt_mismatches() where every delivery holds the receipt of the next one of its batch."""
+    after = F.lead("receipt").over(Window.partitionBy("batch_id").orderBy("delivery_id"))
+    return operations.receipt_mismatches(read_table(spark, sf_dir, "memory_operations").withColumn("receipt", after))
+
+
+@registry.query(
+    "projects_receipts",
+    f"""WITH f AS (SELECT delivery_id, {_KEY} AS op, arg_min(method, delivery_id) OVER (PARTITION BY project_id) AS method, receipt FROM memory_operations)
+SELECT delivery_id, 'kind' AS fault FROM f WHERE method <> receipt.kind""",
+)
+def projects_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every delivery has the method of its project's first one: receipts of another kind."""
+    rows = read_table(spark, sf_dir, "memory_operations")
+    first = rows.groupBy("project_id").agg(F.min_by("method", "delivery_id").alias("m"))
+    return operations.receipt_mismatches(rows.alias("r").join(first, rows["project_id"].eqNullSafe(first["project_id"])).select("r.*", "m").withColumn("method", F.col("m")))

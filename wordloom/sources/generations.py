@@ -78,10 +78,15 @@ def current(spark: SparkSession, root: str, scope: str) -> str:
     return name
 
 
+def read(spark: SparkSession, root: str, scope: str, name: str) -> DataFrame:
+    """A generation by name, without a check of its content."""
+    return spark.read.parquet(f"{root}/{scope}/generations/{name}")
+
+
 def read_current(spark: SparkSession, root: str, scope: str, key: str = "id") -> DataFrame:
     """The current generation, after its content was checked against its name."""
     name = current(spark, root, scope)
-    entries = spark.read.parquet(f"{root}/{scope}/generations/{name}")
+    entries = read(spark, root, scope, name)
     found = generation(entries.withColumn("__scope", F.lit(scope)), "__scope", key, _digest(entries)).head()
     if (found.generation if found else "0" * 64) != name:
         raise ValueError(f"generation {name} of {scope} was changed")

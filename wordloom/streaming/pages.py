@@ -25,7 +25,8 @@ def watch_pages(spark: SparkSession, folder: str, root: str, scope: str, checkpo
     folder, which finds changed and removed pages as well. A generation is published only if every page parses.
     Without ``every`` it takes what is there and ends.
     """
-    arrived = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    arrived = spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
 
     def batch(_: DataFrame, number: int) -> None:
         there = generations.exists(spark, root, scope)
