@@ -100,12 +100,14 @@ class KnowledgeBase:
         rows = self.entries().select("id", "title", "entry_type", "updated_at").orderBy("id")
         return rows if limit is None else rows.limit(limit)
 
-    def related(self, raw: DataFrame, k: int = 5) -> DataFrame:
-        """``path, related``: up to ``k`` ids of the entries best by TF-IDF for the terms of each raw document's first 500 bytes.
+    def related(self, raw: DataFrame, k: int = 5, head: int | None = 500) -> DataFrame:
+        """``path, related``: up to ``k`` ids of the entries best by TF-IDF for the terms of each raw document's first ``head`` bytes.
 
-        All terms count, so a term that very many entries hold costs a row for each of them and each document with it.
+        With None its whole text counts. All terms count, so a term that very many entries hold costs a row for each of them and
+        each document with it; search.best_matches() is the way for many documents.
         """
-        heads = raw.select("path", F.explode(F.array_distinct(T.index_tokens(T.cut_bytes(F.coalesce("content", F.lit("")), 500)))).alias("term"))
+        text = F.coalesce("content", F.lit(""))
+        heads = raw.select("path", F.explode(F.array_distinct(T.index_tokens(text if head is None else T.cut_bytes(text, head)))).alias("term"))
         posted = search.postings(self.entries(), "id", "content")
         total = self.entries().count()
         frequent = posted.groupBy("term").agg(F.count("*").alias("df"))
@@ -207,7 +209,7 @@ class KnowledgeBase:
         if len(topic) <= keywords.LONG:
             return topic
         row = keywords.long_text_keywords(self.spark.createDataFrame([(1, topic)], "k int, t string"), "k", "t").orderBy("place").collect()
-        return " ".join(r.token for r in row) or topic[: keywords.LONG]
+        return " ".join(r.token for r in row) or topic
 
     def focus(self, topic: str, k: int = 10, model: Callable[[str, str], str] | None = None) -> DataFrame:
         """``text``: the entries that serve a topic best, in one block, or what a model makes of them.

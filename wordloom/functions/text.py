@@ -32,7 +32,6 @@ def shingles(items: Column, size: int) -> Column:
 
     Fewer than ``size`` items give an empty array.
     """
-    # slice() of the shifted arrays pairs each item with its followers without a nested lambda per shingle
     n = F.size(items) - (size - 1)
     runs = F.transform(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
@@ -160,14 +159,18 @@ def hashtags(text: Column | str) -> Column:
 LESSON_PREFIXES = ("lesson:", "gotcha:", "pattern:", "learned:")
 
 
-def lessons(text: Column | str, limit: int = 2000) -> Column:
-    """The lessons of a message: what follows a lesson prefix on its line, else the whole message if it isn't blank."""
+def lessons(text: Column | str, limit: int | None = 2000) -> Column:
+    """The lessons of a message: what follows a lesson prefix on its line, else the whole message if it isn't blank.
+
+    Each is cut to ``limit`` characters; None cuts nothing.
+    """
+    kept = lambda x: x if limit is None else F.substring(x, 1, limit)
     pattern = r"(?i)^(?:" + "|".join(LESSON_PREFIXES) + ")"
     bare = F.transform(lines(text), lambda x: strip_space(F.regexp_replace(strip_space(x), r"^[-* ]+", "")))
     marked = F.transform(F.filter(bare, lambda x: x.rlike(pattern)), lambda x: strip_space(F.regexp_replace(x, pattern, "")))
-    found = F.transform(F.filter(marked, lambda x: x != ""), lambda x: F.substring(x, 1, limit))
+    found = F.transform(F.filter(marked, lambda x: x != ""), kept)
     whole = strip_space(F.coalesce(_col(text), F.lit("")))
-    rest = F.when(whole == "", F.array().cast("array<string>")).otherwise(F.array(F.substring(whole, 1, limit)))
+    rest = F.when(whole == "", F.array().cast("array<string>")).otherwise(F.array(kept(whole)))
     return F.when(F.size(found) > 0, found).otherwise(rest)
 
 

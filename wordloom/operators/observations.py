@@ -28,13 +28,14 @@ def message_lessons(messages: DataFrame) -> DataFrame:
     return each.select("project_id", "session_id", source.alias("source"), "text", T.hashtags("text").alias("tags"))
 
 
-def page_lessons(pages: DataFrame, project: Column) -> DataFrame:
-    """The same of pages whose type is a lesson's, in any case, cut to 2000 characters."""
+def page_lessons(pages: DataFrame, project: Column, limit: int | None = 2000) -> DataFrame:
+    """The same of pages whose type is a lesson's, in any case, cut to ``limit`` characters; None cuts nothing."""
+    text = T.strip_space(F.coalesce("content", F.lit("")))
     typed = pages.where(F.lower("entry_type").isin(*LESSON_TYPES) & F.col("id").isNotNull())
     tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)
     return typed.select(
         project.alias("project_id"), F.lit(None).cast("string").alias("session_id"), F.concat(F.lit("kb:"), "id").alias("source"),
-        F.substring(T.strip_space(F.coalesce("content", F.lit(""))), 1, 2000).alias("text"), tags.alias("tags"),
+        (text if limit is None else F.substring(text, 1, limit)).alias("text"), tags.alias("tags"),
     )
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import SPACE, is_correction, is_documentation_path, strip_space
+from wordloom.session import cut
 
-#: How many of each kind a digest keeps, and how many characters of each.
+#: How many of each kind a digest keeps, and how many characters of each.
 MOST = {"prompts": 200, "commands": 200, "artifacts": 100, "tool_sequence": 2000, "skills": 50, "corrections": 10}
 LENGTH = {"prompt": 1000, "command": 200, "path": 200, "correction": 300, "program": 40}
 #: Prompts after a skill that may correct it.
@@ -48,7 +49,11 @@ def _decoded(lines: DataFrame) -> DataFrame:
     )
 
 
-def items(lines: DataFrame) -> DataFrame:
+#: For ``most`` and ``length``: nothing is cut.
+ALL = dict.fromkeys([*MOST, *LENGTH], 1 << 30)
+
+
+def items(lines: DataFrame, length: dict[str, int] = LENGTH) -> DataFrame:
     """``session_id, line_no, pos, kind, value, tool``: what a transcript's lines hold, in order.
 
     ``lines(session_id, line_no, raw)`` are JSON lines; torn ones and meta messages are skipped. Kinds are prompt, skill,
@@ -70,16 +75,16 @@ def items(lines: DataFrame) -> DataFrame:
     uses = uses.where((F.col("b.type") == "tool_use") & F.col("b.name").isNotNull())
     skill = skill_name(F.coalesce("b.input.skill", "b.input.name", F.lit("")))
     command = strip_space(F.coalesce("b.input.command", F.lit("")))
-    name, program = F.col("b.name"), F.substring(F.element_at(F.split(command, SPACE), 1), 1, LENGTH["program"])
+    name, program = F.col("b.name"), F.substring(F.element_at(F.split(command, SPACE), 1), 1, length["program"])
     token = (
         F.when(name == "Skill", F.when(skill != "", F.concat(F.lit("Skill:"), skill)).otherwise(name))
         .when(name == "Bash", F.when(command != "", F.concat(F.lit("Bash:"), program)).otherwise(name)).otherwise(name)
     )
-    path = F.substring(strip_space(F.coalesce("b.input.file_path", "b.input.notebook_path", "b.input.path")), 1, LENGTH["path"])
+    path = F.substring(strip_space(F.coalesce("b.input.file_path", "b.input.notebook_path", "b.input.path")), 1, length["path"])
     found = F.array_compact(
         F.array(
             F.when((name == "Skill") & (skill != ""), F.struct(F.lit("skill").alias("kind"), skill.alias("value"))),
-            F.when((name == "Bash") & (command != ""), F.struct(F.lit("command").alias("kind"), F.substring(command, 1, LENGTH["command"]).alias("value"))),
+            F.when((name == "Bash") & (command != ""), F.struct(F.lit("command").alias("kind"), F.substring(command, 1, length["command"]).alias("value"))),
             F.when(name.isin(*ARTIFACT_TOOLS) & is_documentation_path(path), F.struct(F.lit("artifact").alias("kind"), path.alias("value"))),
             F.struct(F.lit("tool").alias("kind"), token.alias("value")),
         )
@@ -88,30 +93,30 @@ def items(lines: DataFrame) -> DataFrame:
     return prompts.union(tools)
 
 
-def digests(lines: DataFrame) -> DataFrame:
-    """A row per session: ``prompts, commands, artifacts, tool_sequence, skill_uses``, each in order and up to MOST.
+def digests(lines: DataFrame, most: dict[str, int] = MOST, length: dict[str, int] = LENGTH) -> DataFrame:
+    """A row per session: ``prompts, commands, artifacts, tool_sequence, skill_uses``, each in order and up to ``most``; ALL keeps all.
 
     A skill is followed by a window of CORRECTION_WINDOW prompts, closed by the next skill; those that redirect the
     agent are its corrections. Every list is cut before it is gathered. Sessions without any item have no row.
     """
-    every = items(lines)
+    every = cut(items(lines, length))  # each part reads its kind of it
     order = ["line_no", "pos"]
 
-    def gathered(kind: str, name: str, most: int, value: Column) -> DataFrame:
+    def gathered(kind: str, name: str, limit: int, value: Column) -> DataFrame:
         rows = every.where(F.col("kind") == kind).select("session_id", *order, value.alias("value"))
         if kind == "artifact":
             rows = rows.groupBy("session_id", "value").agg(F.min(F.struct(*order)).alias("o")).select("session_id", "o.*", "value")
         place = F.row_number().over(Window.partitionBy("session_id").orderBy(*order))
-        kept = rows.withColumn("n", place).where(F.col("n") <= most)
+        kept = rows.withColumn("n", place).where(F.col("n") <= limit)
         listed = F.sort_array(F.collect_list(F.struct("n", "value")))
         return kept.groupBy("session_id").agg(F.transform(listed, lambda x: x["value"]).alias(name))
 
     parts = [
-        gathered("prompt", "prompts", MOST["prompts"], F.substring("value", 1, LENGTH["prompt"])),
-        gathered("command", "commands", MOST["commands"], F.col("value")),
-        gathered("artifact", "artifacts", MOST["artifacts"], F.col("value")),
-        gathered("tool", "tool_sequence", MOST["tool_sequence"], F.col("value")),
-        _skill_uses(every),
+        gathered("prompt", "prompts", most["prompts"], F.substring("value", 1, length["prompt"])),
+        gathered("command", "commands", most["commands"], F.col("value")),
+        gathered("artifact", "artifacts", most["artifacts"], F.col("value")),
+        gathered("tool", "tool_sequence", most["tool_sequence"], F.col("value")),
+        _skill_uses(every, most, length),
     ]
     ids = every.select("session_id").distinct()
     for part in parts:
@@ -120,19 +125,19 @@ def digests(lines: DataFrame) -> DataFrame:
     return ids.select("session_id", *empty)
 
 
-def _skill_uses(every: DataFrame) -> DataFrame:
+def _skill_uses(every: DataFrame, most: dict[str, int], length: dict[str, int]) -> DataFrame:
     talk = every.where("kind in ('skill', 'prompt')")
     # a session is one transcript, which its reader keeps to a few megabytes
     session = Window.partitionBy("session_id").orderBy("line_no", "pos")
     use = F.sum((F.col("kind") == "skill").cast("int")).over(session.rowsBetween(Window.unboundedPreceding, 0))
-    opened = talk.withColumn("use", use).where((F.col("use") > 0) & (F.col("use") <= MOST["skills"]))
+    opened = talk.withColumn("use", use).where((F.col("use") > 0) & (F.col("use") <= most["skills"]))
     nth = F.row_number().over(Window.partitionBy("session_id", "use").orderBy("line_no", "pos"))
     near = opened.withColumn("n", nth).where(F.col("n") <= CORRECTION_WINDOW + 1)
-    fixes = F.when((F.col("kind") == "prompt") & is_correction("value"), F.struct("n", F.substring("value", 1, LENGTH["correction"]).alias("v")))
+    fixes = F.when((F.col("kind") == "prompt") & is_correction("value"), F.struct("n", F.substring("value", 1, length["correction"]).alias("v")))
     per = near.groupBy("session_id", "use").agg(
         F.max(F.when(F.col("kind") == "skill", F.col("value"))).alias("skill"), F.sort_array(F.collect_list(fixes)).alias("c")
     )
-    corrections = F.slice(F.transform("c", lambda x: x["v"]), 1, MOST["corrections"])
+    corrections = F.slice(F.transform("c", lambda x: x["v"]), 1, most["corrections"])
     one = per.select("session_id", F.struct("use", "skill", corrections.alias("corrections")).alias("u"))
     uses = F.transform(F.sort_array(F.collect_list("u")), lambda u: F.struct(u["skill"].alias("skill"), u["corrections"].alias("corrections")))
     return one.groupBy("session_id").agg(uses.alias("skill_uses"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.operators import events as E
+from wordloom.plans.delivery import _KEPT
 from wordloom.plans.registry import Registry
 from wordloom.session import read_table
 from wordloom.streaming import deliveries, windows
@@ -100,6 +101,12 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "kind", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"), F.array_join("affects", "|").alias("affects"), "scope")
 
 
+@registry.query("stream_kept_deliveries", _KEPT)
+def stream_kept_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delivery of each message that stays, kept up to date by a stream over the deliveries."""
+    return deliveries.kept_so_far(spark, f"{sf_dir}/memory_operations.parquet")
+
+
 _RECEIPTS = """s AS (SELECT lower(regexp_replace(operation_id, '^\\s+|\\s+$', '', 'g')) AS operation, receipt.state AS state, receipt.progress_seq AS progress, delivered_at, delivery_id
   FROM memory_operations WHERE operation_id IS NOT NULL AND receipt IS NOT NULL),
 l AS (SELECT *, row_number() OVER w AS n, CASE WHEN lag(state) OVER w IS NOT DISTINCT FROM state AND lag(progress) OVER w IS NOT DISTINCT FROM progress AND row_number() OVER w > 1 THEN 0 ELSE row_number() OVER w END AS fresh

@@ -176,6 +176,17 @@ def rendered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rendered(context(spark, sf_dir))
 
 
+@registry.query(
+    "title_overlap",
+    f"""WITH w AS (SELECT DISTINCT id, list_distinct({D.normal_words("title")}) AS a, list_distinct({D.normal_words("description")}) AS b FROM wiki_entries WHERE id IS NOT NULL)
+SELECT id, CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 9) END::DOUBLE AS overlap FROM w""",
+)
+def title_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far title and description of each page have the same words; without any they do."""
+    rows = _pages(spark, sf_dir).where("id is not null").select("id", "title", "description").distinct()
+    return rows.select("id", F.round(T.overlap_ratio(T.normal_words("title"), T.normal_words("description"), 1.0), 9).alias("overlap"))
+
+
 _TAG = "cache"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wordloom.functions.text import strip_space
-from wordloom.operators.delivery import identifier, plain_hash
+from wordloom.operators.delivery import identifier, instant, plain_hash
 from wordloom.session import scratch
 from wordloom.streaming.windows import read_stream
 
@@ -36,6 +36,33 @@ def first_deliveries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(once.schema).parquet(f"{folder}/out")
 
 
+def kept_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """``delivery_id, deliveries``: of each message the delivery that stays among all that a run finds, as a table.
+
+    The state is a row per message: its earliest readable delivery (then the smallest id) and their number. Each batch writes
+    the messages it changed, and the last write of a message stands. Rows without an operation id are left out.
+    """
+    folder = scratch(spark)
+    rows = read_stream(spark, path).where("operation_id is not null and delivery_id is not null")
+    key = identifier(F.lower(strip_space("operation_id")), plain_hash(F.coalesce(F.col("receipt.payload_hash"), F.col("payload_hash"))))
+    at = instant(F.col("queued_at"))
+    keyed = rows.select(*[c.alias(k) for k, c in key.items()], F.struct(at.isNull().alias("late"), at.alias("at"), "delivery_id").alias("place"))
+    first = keyed.groupBy(*key).agg(F.min("place").alias("first"), F.count("*").alias("deliveries"))
+    table = first.select(*key, F.col("first.delivery_id").alias("delivery_id"), "deliveries")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = (
+        table.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).foreachBatch(write).start()
+    )
+    query.awaitTermination()
+    written = spark.read.schema(table.withColumn("batch", F.lit(0)).schema).parquet(f"{folder}/out")
+    last = written.groupBy(*key).agg(F.max(F.struct("batch", "delivery_id", "deliveries")).alias("l"))
+    return last.select("l.delivery_id", "l.deliveries")
+
+
 class ReceiptTracker(StatefulProcessor):
     """Per operation: the receipt's last (state, progress), when it was first seen, how many polls left it unchanged, and the next poll.
 
