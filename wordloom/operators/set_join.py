@@ -1,8 +1,10 @@
 """Exact similarity join of sets by prefix filter.
 
 Two sets with a Jaccard similarity of at least t share one of the first n - ceil(t n) + 1 values of each, values being
-ordered from rare to common. Only these prefixes are joined, so common values never pair up the records that hold them;
-the candidates are then compared on the whole sets. Equal sets are one class throughout.
+ordered from rare to common; the smaller of the two needs only its first n - ceil(2 t / (1 + t) n) + 1. Only these prefixes
+are joined, and a pair must be able to reach t by its sizes and by what is left of both sets from the shared value on. So
+common values hardly pair up the records that hold them; the candidates are then compared on the whole sets. Equal sets
+are one class throughout.
 """
 
 from __future__ import annotations
@@ -39,13 +41,15 @@ def similar_sets(classes: DataFrame, threshold: float) -> DataFrame:
     ranked = values.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v"))
     sized = ranked.join(classes.select("node", F.size("items").alias("size")), "node")
     # values that stand in one set only come first in its order and join nothing: they just use up the prefix
-    alone = F.col("size") - F.size("v")
-    prefix = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1 - alone
-    heads = sized.where(prefix > 0).select("node", "size", F.explode(F.slice("v", 1, prefix.cast("int"))).alias("h"))
-    heads = cut(heads.select("node", "size", F.col("h.value").alias("value")))
-    left, right = (heads.select("value", F.col("node").alias(n), F.col("size").alias(f"size_{n}")) for n in ("a", "b"))
-    fits = F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - 1e-9
-    met = left.join(right, "value").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    prefix = lambda t: (F.size("v") - F.ceil(F.lit(t) * F.col("size") - 1e-9) + 1).cast("int")
+    sized = sized.withColumns({"larger": prefix(threshold), "smaller": prefix(2 * threshold / (1 + threshold)), "held": F.size("v")})
+    heads = sized.where("larger > 0").select("node", "size", "smaller", "held", F.posexplode(F.slice("v", 1, F.col("larger"))).alias("at", "h"))
+    heads = cut(heads.select("node", "size", F.col("h.value").alias("value"), (F.col("at") < F.col("smaller")).alias("small"), (F.col("held") - F.col("at")).alias("left")))
+    side = lambda rows, n: rows.select("value", F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("size", "left")])
+    fits = (F.col("size_x") <= F.col("size_y")) & (F.col("size_x") >= F.lit(threshold) * F.col("size_y") - 1e-9)
+    reach = F.least("left_x", "left_y") >= F.lit(threshold / (1 + threshold)) * (F.col("size_x") + F.col("size_y")) - 1e-9
+    met = side(heads.where("small"), "x").join(side(heads, "y"), "value").where((F.col("x") != F.col("y")) & fits & reach)
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     sides = [classes.select(F.col("node").alias(n), F.col("items").alias(f"items_{n}")) for n in ("a", "b")]
     both = met.join(sides[0], "a").join(sides[1], "b")
     common = F.size(F.array_intersect("items_a", "items_b"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,16 +124,20 @@ def similar_workflows(workflows: DataFrame, threshold: float = 0.5) -> tuple[Dat
     held = workflows.where(F.col("workflow_id").isNotNull()).select(F.col("workflow_id").alias("key"), hashed("prompt_shingles").alias("prompt"), hashed("tool_shingles").alias("tool"))
     filled = held.where(F.exists("prompt", lambda x: x.isNotNull()) & F.exists("tool", lambda x: x.isNotNull()))
     one = cut(filled.dropDuplicates(["key"]))
-    found = None
-    for side in ("prompt", "tool"):
+
+    def candidates(side: str) -> DataFrame:
         classes, members = set_classes(one.select("key", side), "key", F.col(side))
+        members = cut(members)
         met = similar_sets(classes, threshold).select("a", "b")
         same = members.where("key <> node").select(F.col("node").alias("x"), F.col("key").alias("y"))
         left, right = (members.select(F.col("node").alias(n), F.col("key").alias(k)) for n, k in (("a", "x"), ("b", "y")))
         across = met.join(left, "a").join(right, "b").select("x", "y")
+        # a mean of one half is reached by one equal set alone, so all of these are results there
         twins = members.withColumnRenamed("key", "x").join(members.withColumnRenamed("key", "y"), "node").where("x < y").select("x", "y")
-        each = across.union(twins).union(same)
-        found = each if found is None else found.union(each)
+        return across.union(twins).union(same)
+
+    with ThreadPoolExecutor(2) as both_sides:  # each side is a row of jobs
+        found = reduce(DataFrame.union, both_sides.map(candidates, ("prompt", "tool")))
     pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
     sides = [one.select(F.col("key").alias(n), F.col("prompt").alias(f"p{n}"), F.col("tool").alias(f"t{n}")) for n in ("a", "b")]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
