@@ -77,3 +77,7 @@ def test_long_chain(spark, monkeypatch):
     pairs = {(k, k + 1): 0.9 for k in range(999)}
     assert leaders(spark, nodes, pairs) == in_order(nodes, pairs)
     assert len(written) < 20
+    written.clear()
+    pairs = {(k, k + 1): 0.9 for k in range(999) if k % 50 != 49}
+    assert leaders(spark, nodes, pairs, bound=100) == in_order(nodes, pairs)  # by components
+    assert len(written) < 20

@@ -37,12 +37,17 @@ def leader_clusters(nodes: DataFrame, pairs: DataFrame, bound: int = BOUND) -> D
         ).dropDuplicates(["lo", "hi"])
     )
     ids = nodes.select("node")
-    if links.isEmpty():
+    n_links = links.count()
+    if not n_links:
         return ids.select("node", F.col("node").alias("anchor"), F.lit(1.0).alias("similarity"))
-    parts = cut(connected_components(links, "lo", "hi"))
-    sized = links.join(parts.select(F.col("node").alias("lo"), "component"), "lo")
-    large = sized.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("component")
-    member = cut(_in_tasks(sized.join(large, "component", "left_anti"))).union(_in_rounds(sized.join(large, "component", "left_semi").select("lo", "hi")))
+    if n_links <= bound:  # no component is larger
+        member = cut(_in_tasks(links.withColumn("component", F.lit(0))))
+    else:
+        parts = cut(connected_components(links, "lo", "hi"))
+        sized = links.join(parts.select(F.col("node").alias("lo"), "component"), "lo")
+        large = sized.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("component")
+        small = _in_tasks(sized.join(large, "component", "left_anti"))
+        member = cut(small).union(_in_rounds(sized.join(large, "component", "left_semi").select("lo", "hi")))
     held = links.join(member.withColumnRenamed("node", "hi"), "hi").join(member.withColumnRenamed("node", "lo"), "lo", "left_anti")
     best = held.groupBy("hi").agg(F.min(F.struct("at", "lo", "similarity")).alias("m"))
     found = best.select(F.col("hi").alias("node"), F.col("m.lo").alias("anchor"), "m.similarity")
