@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from wordloom.operators import answers, health
-from wordloom.operators.observations import _labels, lesson_records, log_lines, message_lessons, new_records, page_lessons, with_source_labels
+from wordloom.operators.observations import lesson_records, log_lines, message_lessons, new_records, page_lessons, with_source_labels
 from wordloom.streaming.routes import route_events
 
 
@@ -24,9 +24,10 @@ def test_lessons(spark):
 
 
 def test_labels(spark):
-    s = lambda i, r="r": {"id": i, "resource": r}
-    assert _labels([s("x"), s("x"), s("x-2"), s(None), s("a b"), s("X")], ["r"] * 6) == ["x", "x-3", "x-2", "r", "r-2", "X-4"]
-    assert _labels([s(None), s("")], ["", "doc"]) == ["source", "doc"]
+    schema = "k int, sources array<struct<id: string, resource: string>>"
+    rows = [(1, [(i, "r") for i in ("x", "x", "x-2", None, "a b", "X")]), (2, [(None, ""), ("", "doc")])]
+    got = {r.k: [x.id for x in r.sources] for r in with_source_labels(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: ["x", "x-3", "x-2", "r", "r-2", "X-4"], 2: ["source", "doc"]}
     df = spark.createDataFrame([(1, [("x", "a"), ("x", "b"), (None, "My Doc")]), (2, []), (3, None)], "k int, sources array<struct<id: string, resource: string>>")
     got = {r.k: r.sources and [tuple(x) for x in r.sources] for r in with_source_labels(df).collect()}
     assert got == {1: [("x", "a"), ("x-2", "b"), ("my-doc", "My Doc")], 2: [], 3: None}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,37 +56,44 @@ def new_records(records: DataFrame, known: DataFrame, key: str = "lesson_id") ->
     return not_in(records, known, key)
 
 
-def _labels(sources: list[dict], slugs: list[str]) -> list[str]:
-    """A label for each source, unique whatever the case: chosen ones first, then repeats, then derived ones."""
-    usable = lambda x: bool(x) and not any(c.isspace() or c in "[]^" for c in x)
-    taken: set[str] = set()
+def source_labels(sources: Column) -> Column:
+    """A label for each of a page's sources (``id, resource``), unique within the page whatever the case.
 
-    def free(base: str) -> str:
-        n, label = 1, base
-        while label.lower() in taken:
-            n += 1
-            label = f"{base}-{n}"
-        taken.add(label.lower())
-        return label
+    An id that can be a label is kept where it stands first; where it stands again it gets the first free number behind it. All
+    others are named by the slug of their resource (or ``source``), numbered too where that is taken. Null stays null.
+    """
+    usable = lambda x: x.isNotNull() & (x != "") & ~x.rlike(r"(?U)[\s\[\]^]")
+    lower = F.transform(sources, lambda s: F.when(usable(s["id"]), F.lower(s["id"])))
+    derived = lambda s: F.when(usable(T.slug(s["resource"])), T.slug(s["resource"])).otherwise("source")
+    # in order of their claim: ids at their first place, repeated ids, then derived names
+    claims = F.array_sort(
+        F.transform(
+            sources,
+            lambda s, i: F.struct(
+                F.when(~usable(s["id"]), 2).when(F.array_position(lower, F.lower(s["id"])) == i + 1, 0).otherwise(1).alias("turn"),
+                i.alias("place"), F.when(usable(s["id"]), s["id"]).otherwise(derived(s)).alias("base"),
+            ),
+        )
+    )
 
-    out: list[str | None] = [None] * len(sources)
-    for again in (False, True):
-        for k, source in enumerate(sources):
-            label = source["id"]
-            if out[k] is None and usable(label) and (again or label.lower() not in taken):
-                out[k] = free(label)
-    return [found or free(slug if usable(slug) else "source") for found, slug in zip(out, slugs)]
+    def free(taken: Column, base: Column) -> Column:
+        """Of base, base-2, base-3, ... the first that isn't taken; one of as many as are taken and one more is free."""
+        named = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda n: F.when(n == 1, base).otherwise(F.concat(base, F.lit("-"), n.cast("string"))))
+        return F.get(F.filter(named, lambda c: ~F.array_contains(taken, F.lower(c))), 0)
 
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<struct<place: int, label: string>>").alias("told"))
 
-def with_source_labels(pages: DataFrame) -> DataFrame:
-    """Pages whose ``sources`` all have an id, unique within the page; ids that can be footnote labels are kept."""
+    def claim(held: Column, c: Column) -> Column:
+        label = free(held["taken"], c["base"])
+        told = F.concat(held["told"], F.array(F.struct(c["place"].alias("place"), label.alias("label"))))
+        return F.struct(F.concat(held["taken"], F.array(F.lower(label))).alias("taken"), told.alias("told"))
 
-    @F.pandas_udf("array<string>")
-    def labels(sources: pd.Series, slugs: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None else _labels(list(s), list(g)) for s, g in zip(sources, slugs)])
+    return F.aggregate(claims, start, claim, lambda held: F.transform(F.array_sort(held["told"]), lambda t: t["label"]))
 
-    slugs = F.transform("sources", lambda s: T.slug(s["resource"]))
-    named = pages.withColumn("__labels", labels("sources", slugs))
+
+def with_source_labels(pages: DataFrame) -> DataFrame:
+    """Pages whose ``sources`` all have an id, unique within the page; ids that can be footnote labels are kept."""
+    named = pages.withColumn("__labels", source_labels(F.col("sources")))
     joined = F.transform(F.arrays_zip(F.col("sources").alias("s"), F.col("__labels").alias("l")), lambda x: F.struct(x["l"].alias("id"), x["s"]["resource"].alias("resource")))
     return named.withColumn("sources", joined).drop("__labels")
 

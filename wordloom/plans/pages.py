@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
-from wordloom.operators import answers, links, snapshots
+from wordloom.operators import answers, links, observations, snapshots
 from wordloom.operators import context as C
 from wordloom.plans import dialect as D
 from wordloom.plans.registry import Registry
@@ -260,3 +260,19 @@ def compiled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.concat(F.lit("```json\n"), F.to_json(F.struct("title", "content", "tags", twice.alias("sources"), "description", "type")), F.lit("\n```"))
     made = answers.compiled(rows.select(F.col("id").alias("source"), answer.alias("answer")), "source", "answer")
     return made.select("source", "title", "content", F.array_join("tags", "|").alias("tags"), "entry_type", F.size("sources").alias("sources"), F.substring_index("error", ":", 1).alias("error"))
+
+
+@registry.query(
+    "source_labels",
+    f"""WITH p AS (SELECT DISTINCT id, sources FROM wiki_entries WHERE id IS NOT NULL AND len(sources) > 0),
+e AS (SELECT id, unnest(range(1, len(sources) + 1)) AS n, unnest(sources) AS s FROM p),
+u AS (SELECT id, n, s.resource AS resource, CASE WHEN s.id <> '' AND NOT regexp_matches(s.id, '[\\s\\[\\]^]') THEN s.id END AS own,
+  array_to_string(list_filter(regexp_split_to_array(lower(s.resource), '[^{D.ALNUM}]'), lambda x: x <> ''), '-') AS slug FROM e),
+t AS (SELECT id, n, coalesce(own, CASE WHEN slug = '' THEN 'source' WHEN slug IN ({D.quoted(T.DEVICE_NAMES)}) THEN slug || '_' ELSE slug END) AS base, own IS NULL AS made FROM u),
+r AS (SELECT id, n, base, row_number() OVER (PARTITION BY id, lower(base) ORDER BY made, n) AS k FROM t)
+SELECT id, string_agg(CASE WHEN k = 1 THEN base ELSE base || '-' || k END, '|' ORDER BY n) AS labels FROM r GROUP BY id""",
+)
+def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of each page's sources."""
+    rows = _pages(spark, sf_dir).where("id is not null and size(sources) > 0").select("id", "sources").distinct()
+    return observations.with_source_labels(rows).select("id", F.array_join("sources.id", "|").alias("labels"))
