@@ -23,7 +23,7 @@ def strip_fences(text: Column | str) -> Column:
 
 
 def parsed(text: Column | str, schema: str) -> Column:
-    """The answer as a value of the schema; null where it is no JSON."""
+    """The answer as a value of the schema; null, or a struct of nulls, where it is no JSON."""
     return F.from_json(strip_fences(text), schema)
 
 
@@ -65,12 +65,14 @@ def compiled(answers: DataFrame, key: str, text: str) -> DataFrame:
     An answer is JSON, fenced or not. Links of the body come first, then those it names; of sources with one id the first
     stays; the type is Reference where none is told. An answer without title or content is an error, and so is no JSON.
     """
-    made = answers.select(F.col(key).alias("key"), parsed(text, ENTRY).alias("e"), F.col(text).alias("raw"))
+    made = answers.select(
+        F.col(key).alias("key"), parsed(text, ENTRY).alias("e"), F.col(text).alias("raw"), F.try_parse_json(strip_fences(text)).isNotNull().alias("read")
+    )
     e, none = (lambda c: F.col(f"e.{c}")), F.array().cast("array<string>")
     sources = F.coalesce(e("sources"), F.array().cast("array<struct<id: string, resource: string>>"))
     named = F.transform(sources, lambda x: x["id"])
     first = F.filter(sources, lambda x, i: x["id"].isNull() | (F.array_position(named, x["id"]) == i + 1))
-    wrong = F.when(F.col("e").isNull(), "no JSON").when(F.coalesce(strip_space(e("title")), F.lit("")) == "", "no title").when(e("content").isNull(), "no content")
+    wrong = F.when(~F.col("read") | F.col("e").isNull(), "no JSON").when(F.coalesce(strip_space(e("title")), F.lit("")) == "", "no title").when(e("content").isNull(), "no content")
     return made.select(
         F.col("key").alias(key), slug(e("title")).alias("id"), e("title").alias("title"), e("content").alias("content"),
         F.coalesce(e("tags"), none).alias("tags"), F.array_distinct(F.concat(body_links(e("content")), F.coalesce(e("links"), none))).alias("links"),
