@@ -78,6 +78,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many partitions as the session has cores, where a scan of small files gives fewer; else as they are.
+
+    For work that costs far more than moving a row does. A scan of large files has more partitions than that anyway.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all tables that cut() and others wrote for this application; results not yet read from them are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/wordloom/{spark.sparkContext.applicationId}")
