@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.tokens import VOCABULARY, encoder
-from wordloom.session import cut
+from wordloom.session import cut, spread
 
 #: Labelled documents per source that the classifier is fitted on, in expectation.
 SAMPLE = 500
@@ -124,7 +124,7 @@ def token_features(texts: DataFrame, columns: list[str], text: str, vocabulary:
             kept = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(size), features], [*columns, "tokens", "features"])
 
-    kept = texts.select(*columns, F.col(text).alias("__text"))
+    kept = spread(texts.select(*columns, F.col(text).alias("__text")))
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
     return kept.mapInArrow(run, f"{schema}, tokens bigint, features array<smallint>")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wordloom.functions.text import words
 from wordloom.llm.minhash import CROWD, agreeing, may_agree, overlap, rare_heads, shared_buckets, with_bands, with_runs
 from wordloom.operators.components import connected_components
-from wordloom.session import cut
+from wordloom.session import cut, spread
 
 #: Bands and minima of each. Their lowest bytes are the signature; at similarity s a share s + (1 - s) / 256 of it agrees.
 BANDS, ROWS = 64, 4
@@ -31,9 +31,8 @@ def text_classes(records: DataFrame, key: str, title: str, content: str, size: i
     should their texts differ, the one with the smallest hash stands for it.
     """
     whole = F.concat(F.coalesce(F.col(title), F.lit("")), F.lit("\n"), F.coalesce(F.col(content), F.lit("")))
-    worded = records.where(F.col(key).isNotNull() & F.col(content).rlike(r"[\p{L}\p{N}]")).select(
-        F.col(key).alias("key"), words(whole).alias("words")
-    )
+    texts = spread(records.where(F.col(key).isNotNull() & F.col(content).rlike(r"[\p{L}\p{N}]")).select(F.col(key).alias("key"), whole.alias("text")))
+    worded = texts.select("key", words(F.col("text")).alias("words"))
     # the words stand in a projection of their own: inside the lambda they would be found again for each
     hashes = worded.select("key", F.transform("words", lambda w: F.xxhash64(w)).alias("grams"))
     # written, since both classes and members are made of them: a text's shingles are taken once

@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.session import cut, scratch
+from wordloom.session import cut, scratch, spread
 
 #: Terms of a window, and how many terms back a recurrence counts as near.
 WINDOW, NEAR = 20, 48
@@ -193,7 +193,7 @@ def term_counts(documents: DataFrame, text: str, group: Column) -> DataFrame:
                     ["language", "term", "df", "cf"],
                 )
 
-    kept = documents.where(F.col(text) != "").select(group.alias("language"), F.col(text).alias("text"))
+    kept = spread(documents.where(F.col(text) != "").select(group.alias("language"), F.col(text).alias("text")))
     counts = kept.mapInArrow(run, "language string, term string, df bigint, cf bigint")
     return counts.groupBy("language", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
@@ -318,4 +318,4 @@ def stuffed_pages(
         return batch.filter(pa.array(forest.score(table) >= least))
 
     kept, schema = _with_text(documents.where(F.col(text) != ""), [key], text)
-    return kept.mapInArrow(_by_measures(found, functions), schema)
+    return spread(kept).mapInArrow(_by_measures(found, functions), schema)

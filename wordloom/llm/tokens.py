@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.session import cut
+from wordloom.session import cut, spread
 
 #: Where the vocabulary files of public tokenizers lie on every machine; described in README.md there.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -88,7 +88,7 @@ def _pieces(texts: DataFrame) -> DataFrame:
             yield block(keys, lengths, words)
 
     kind = texts.schema["key"].dataType.simpleString()
-    return texts.mapInArrow(
+    return spread(texts).mapInArrow(
         run, f"block bigint, keys array<{kind}>, lengths array<int>, codes array<int>, words array<string>"
     )
 
